@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, secret_scan
+from . import audio, chat_format, html_text, line_dedup, secret_scan
 
 QUERIES = {
+    "op3_audio_features": audio.op3_audio_features,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_html_text": html_text.op7_html_text,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
 ORACLES = {
     "op6_chat_format": chat_format.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
 }
