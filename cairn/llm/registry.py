@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, chat_format, html_text, line_dedup, secret_scan
+from . import audio, chat_format, html_text, line_dedup, secret_scan, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_audio_features": audio.op3_audio_features,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_html_text": html_text.op7_html_text,
