@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import audio, chat_format, html_text, line_dedup, secret_scan, simhash
+from . import audio, chat_format, html_text, lang_id, line_dedup, ppm, secret_scan, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_audio_features": audio.op3_audio_features,
+    "op5_ppm_score": ppm.op5_ppm_score,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_html_text": html_text.op7_html_text,
+    "op8_lang_id": lang_id.op8_lang_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
