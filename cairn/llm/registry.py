@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import audio, chat_format, html_text, lang_id, line_dedup, ppm, secret_scan, simhash
+from . import audio, chat_format, decontaminate, html_text, lang_id, line_dedup, ppm, secret_scan, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_audio_features": audio.op3_audio_features,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_ppm_score": ppm.op5_ppm_score,
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_html_text": html_text.op7_html_text,
