@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, chat_format, decontaminate, html_text, lang_id, line_dedup, ppm, secret_scan, simhash
+from . import audio, chat_format, decontaminate, html_text, lang_id, line_dedup, mixing, ppm, secret_scan, simhash
 
 QUERIES = {
+    "op1_mix_sources": mixing.op1_mix_sources,
     "op2_simhash": simhash.op2_simhash,
     "op3_audio_features": audio.op3_audio_features,
     "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_mix_sources": mixing.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
