@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-FILES = T.StructType.fromDDL(
-    "manifest_id string, id string, file_system_key string, path string, original_hash string, original_size bigint, "
-    "last_modified_utc_epoch_seconds bigint, last_accessed_utc_epoch_seconds bigint, created_utc_epoch_seconds bigint, permissions string, "
-    "owner string, `group` string, file_type string, hidden boolean, status string, archive_metadata_id string, error string"
-)
-LOCATOR = T.StructType.fromDDL("backup_increment int, entry_name string")
-ARCHIVE_ENTRIES = T.StructType.fromDDL("manifest_id string, id string, archive_location struct<backup_increment:int,entry_name:string>, archived_hash string, original_hash string, files array<string>")
-MANIFESTS = T.StructType.fromDDL(
-    "manifest_id string, app_version string, start_time_utc_epoch_seconds bigint, backup_type string, backup_versions array<int>, operating_system string, "
-    "job_configuration struct<backup_type:string,hash_algorithm:string,compression:string,encryption_key:string,duplicate_strategy:string,chunk_size_mebibyte:int,file_name_prefix:string,destination_directory:string,sources:array<struct<path:string,include_patterns:array<string>,exclude_patterns:array<string>>>>, "
-    "encryption_keys map<string,map<string,string>>, index_file_name string, data_file_names array<string>"
-)
-BOUNDARY = "struct<rel_start:bigint,start_file:string,rel_end:bigint,end_file:string,abs_start:bigint,abs_end:bigint,orig_size:bigint,orig_hash:string,arch_size:bigint,arch_hash:string>"
-CARGO_INDEX = T.StructType.fromDDL(f"prefix string, ord bigint, path string, type string, encrypted boolean, content {BOUNDARY}, metadata {BOUNDARY}")
+_S, _L, _I, _B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_TIMES = {f"{x}_utc_epoch_seconds": _L for x in ("last_modified", "last_accessed", "created")}
+FILES = _struct(manifest_id=_S, id=_S, file_system_key=_S, path=_S, original_hash=_S, original_size=_L, **_TIMES, permissions=_S, owner=_S, group=_S, file_type=_S, hidden=_B, status=_S, archive_metadata_id=_S, error=_S)
+LOCATOR = _struct(backup_increment=_I, entry_name=_S)
+ARCHIVE_ENTRIES = _struct(manifest_id=_S, id=_S, archive_location=LOCATOR, archived_hash=_S, original_hash=_S, files=T.ArrayType(_S))
+SOURCE = _struct(path=_S, include_patterns=T.ArrayType(_S), exclude_patterns=T.ArrayType(_S))
+JOB = _struct(backup_type=_S, hash_algorithm=_S, compression=_S, encryption_key=_S, duplicate_strategy=_S, chunk_size_mebibyte=_I, file_name_prefix=_S, destination_directory=_S, sources=T.ArrayType(SOURCE))
+MANIFESTS = _struct(
+    manifest_id=_S, app_version=_S, start_time_utc_epoch_seconds=_L, backup_type=_S, backup_versions=T.ArrayType(_I), operating_system=_S, job_configuration=JOB,
+    encryption_keys=T.MapType(_S, T.MapType(_S, _S)), index_file_name=_S, data_file_names=T.ArrayType(_S),
+)
+BOUNDARY = _struct(rel_start=_L, start_file=_S, rel_end=_L, end_file=_S, abs_start=_L, abs_end=_L, orig_size=_L, orig_hash=_S, arch_size=_L, arch_hash=_S)
+CARGO_INDEX = _struct(prefix=_S, ord=_L, path=_S, type=_S, encrypted=_B, content=BOUNDARY, metadata=BOUNDARY)
 
 # A change's name, whether its content is stored, whether earlier content is linked, whether a restore
 # sets metadata, whether it writes content, and the message of a restore that left it so. In order of severity.
