@@ -5,10 +5,12 @@ at `bits` (4) or fewer differing bits; documents of one connected component are
 
 Finding all links. A fingerprint is cut into three segments of 22, 21 and 21 bits, each read as a word of the
 perfect binary Golay code (23, 12, 7). With at most four errors over three segments, either a segment has none, or two
-segments have exactly one each. The first case is a key of the exact segment (a codeword and its error pattern).
-For the second, every word has one home, the nearest codeword (distance 3 or less), and up to six probes, the codewords
-within distance 4. If two words differ in one bit, each one's home is among the other's probes, so two segments' probes
-joined with two segments' homes miss no such pair. Candidates are verified by counting differing bits.
+segments have exactly one each and the last at most two. The first case is a key of the exact segment (a codeword and its
+error pattern) and a fifth of the rest, one of which has no error either. For the second, every word has one home, the
+nearest codeword (distance 3 or less), and up to six probes, the codewords within distance 4. If two words differ in one bit,
+each one's home is among the other's probes, so two segments' probes joined with two segments' homes, and with a
+third of the last segment, one of which has no error, miss no such pair. Keys have some 30 bits, so that candidates
+stay few; they are verified by counting differing bits.
 
 Buckets are cut into blocks of bounded size and verified block by block; a pair of blocks gives a spanning
 forest of its links, never all of its pairs, so a group of copies costs as many links as it has members. Before the
@@ -106,25 +108,46 @@ def _decoded(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return message ^ home[s], message[:, None] ^ probes[s], count[s]
 
 
+def _parts(value: np.ndarray, size: int, n: int) -> list[np.ndarray]:
+    """value's `size` bits in n parts of near equal length."""
+    ends = [round(i * size / n) for i in range(n + 1)]
+    return [(value >> a) & ((1 << (b - a)) - 1) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def exact_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint): one key for each segment."""
-    return np.concatenate([(k << 32) | s for k, s in enumerate(_segments(fps))]), np.tile(fps, len(SEGMENTS))
+    """(key, fingerprint): each segment, with each fifth of the rest: four errors leave one fifth as it is."""
+    s, keys = _segments(fps), []
+    for k in range(3):
+        (b, nb), (c, nc) = ((s[i], SEGMENTS[i][1]) for i in range(3) if i != k)
+        for j, part in enumerate(_parts((b << nc) | c, nb + nc, BITS + 1)):
+            keys.append(((k * 8 + j) << 40) | (s[k] << 16) | part)
+    return np.concatenate(keys), np.tile(fps, len(keys))
+
+
+def _pairs(s: list[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(number, a, b, part): each pair of segments with each third of the last: two errors leave one third as it is."""
+    for k, (a, b) in enumerate(combinations(range(3), 2)):
+        c = 3 - a - b
+        for j, part in enumerate(_parts(s[c], SEGMENTS[c][1], 3)):
+            yield k * 8 + j, a, b, part
 
 
 def home_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint): the two homes of each pair of segments."""
-    homes = [_decoded(s)[0] for s in _segments(fps)]
-    pairs = list(combinations(range(len(SEGMENTS)), 2))
-    return np.concatenate([(k << 32) | (homes[a] << 12) | homes[b] for k, (a, b) in enumerate(pairs)]), np.tile(fps, len(pairs))
+    """(key, fingerprint): the two homes of each pair of segments, with each third of the last segment."""
+    s = _segments(fps)
+    homes = [_decoded(x)[0] for x in s]
+    keys = [(k << 40) | (homes[a] << 20) | (homes[b] << 8) | part for k, a, b, part in _pairs(s)]
+    return np.concatenate(keys), np.tile(fps, len(keys))
 
 
 def probe_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint): every pair of probes of each pair of segments."""
-    found = [_decoded(s)[1:] for s in _segments(fps)]
+    """(key, fingerprint): every pair of probes of each pair of segments, with each third of the last segment."""
+    s = _segments(fps)
+    found = [_decoded(x)[1:] for x in s]
     keys, who = [], []
-    for k, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2)):
+    for k, a, b, part in _pairs(s):
         (pa_, na), (pb, nb) = found[a], found[b]
-        every = (k << 32) | (pa_[:, :, None] << 12) | pb[:, None, :]
+        every = (k << 40) | (pa_[:, :, None] << 20) | (pb[:, None, :] << 8) | part[:, None, None]
         valid = (np.arange(6)[None, :, None] < na[:, None, None]) & (np.arange(6)[None, None, :] < nb[:, None, None])
         keys.append(every[valid])
         who.append(np.repeat(fps, na * nb))
@@ -136,8 +159,8 @@ def _keyed(fps: DataFrame, make, extra: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 own = np.ascontiguousarray(part.column(0).to_numpy(zero_copy_only=False))
                 keys, who = make(own)
                 columns = [pa.array(keys), pa.array(who)]
