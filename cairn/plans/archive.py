@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.content import decompress, decrypt, digest
+from ..functions.content import compress, decompress, decrypt, digest, encrypt
 from ..operators.order import running_sum
 
 # The property names of an archive's index, by our columns.
@@ -157,6 +157,32 @@ def content_of(index: DataFrame, chunks: DataFrame, key: bytes | None = None, co
     return out.withColumn("content", decompress(plain, compression))
 
 
+def pack(entries: DataFrame, prefix: str, key: bytes | None = None, compression: str = "NONE", algorithm: str = "SHA256") -> DataFrame:
+    """Entries (ord, path, content) as archived rows: digest, compress, encrypt, digest again.
+
+    AES-GCM draws a new IV whenever it runs: write the result before using it twice.
+    """
+    rows = entries.select(F.lit(prefix).alias("prefix"), "ord", "path", digest(F.col("content"), algorithm).alias("orig_hash"), F.octet_length("content").cast("bigint").alias("orig_size"), compress(F.col("content"), compression).alias("raw"))
+    rows = rows.withColumn("raw", encrypt(F.col("raw"), F.lit(key)) if key else F.col("raw"))
+    return rows.withColumn("arch_hash", digest(F.col("raw"), algorithm)).withColumn("arch_size", F.octet_length("raw").cast("bigint"))
+
+
+def placed(packed: DataFrame, max_chunk: int) -> DataFrame:
+    """Written packed rows with their offsets and chunks."""
+    return offsets(packed, "", max_chunk)
+
+
+def chunks(rows: DataFrame, max_chunk: int) -> DataFrame:
+    """Placed rows to (prefix, number, name, data): the bytes of each chunk, at most max_chunk of them."""
+    each = rows.withColumn("number", F.explode(F.sequence("start_chunk", "end_chunk")))
+    low = (F.col("number") - 1).cast("bigint") * max_chunk
+    begin, end = F.greatest(F.col("abs_start"), low) - F.col("abs_start"), F.least(F.col("abs_end"), low + max_chunk) - F.col("abs_start")
+    parts = each.where(end > begin).withColumn("data", F.substring(F.col("raw"), (begin + 1).cast("int"), (end - begin).cast("int")))
+    whole = parts.groupBy("prefix", "number").agg(F.array_sort(F.collect_list(F.struct("ord", "data"))).alias("d"))
+    data = F.aggregate("d", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["data"]))
+    return whole.select("prefix", F.col("number").cast("int").alias("number"), P.chunk_name(F.col("prefix"), F.col("number")).alias("name"), data.alias("data"))
+
+
 def integrity(decoded: DataFrame, algorithm: str = "SHA256") -> DataFrame:
     """(prefix, valid, n): whether stored bytes and content have the hashes of the index."""
     good = digest(F.col("raw"), algorithm).eqNullSafe(F.col("arch_hash")) & digest(F.col("content"), algorithm).eqNullSafe(F.col("orig_hash"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import paths as P
-from ..functions.content import decompress
+from ..functions.content import compress, decompress, decrypt, encrypt
 from ..schemas import ARCHIVE_ENTRIES, FILES, MANIFESTS
+from .keys import new_key, unwrap, wrap
 
 _FILE = T.StructType([f for f in FILES if f.name != "manifest_id"])
 _ENTRY = T.StructType([f for f in ARCHIVE_ENTRIES if f.name != "manifest_id"])
@@ -28,6 +31,31 @@ def read_cargo(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.from_json(text, DOCUMENT).alias("d")).select("d.*")
 
 
+def read_encrypted_cargo(spark: SparkSession, folder: str, private_key) -> DataFrame:
+    """As read_cargo; each file is the wrapped key's length (four bytes), the wrapped key, and AES-GCM data.
+
+    The files' keys, one a manifest, are unwrapped on the driver; the data is decrypted where it is read.
+    """
+    raw = spark.read.format("binaryFile").load(f"{folder}/*.manifest.cargo").select("path", "content")
+    size = F.conv(F.hex(F.substring("content", 1, 4)), 16, 10).cast("int")
+    wrapped = raw.select("path", F.base64(F.substring(F.col("content"), F.lit(5), size)).alias("key")).collect()
+    found = spark.createDataFrame([(r.path, bytearray(unwrap(spark, r.key, private_key))) for r in wrapped], "path string, key binary")
+    payload = F.substring(F.col("content"), size + 5, F.length("content"))
+    text = decompress(decrypt(payload, F.col("key")), "GZIP").cast("string")
+    return raw.join(F.broadcast(found), "path").select(F.from_json(text, DOCUMENT).alias("d")).select("d.*")
+
+
+def encrypted_cargo(spark: SparkSession, documents: DataFrame, public_key) -> DataFrame:
+    """(manifest_id, data) of documents (manifest_id, document), encrypted with a new key each."""
+    ids = [r[0] for r in documents.select("manifest_id").collect()]
+    own = [(i, new_key()) for i in ids]
+    rows = [(i, bytearray(k), bytearray(base64.b64decode(wrap(spark, k, public_key)))) for i, k in own]
+    keys = spark.createDataFrame(rows, "manifest_id string, key binary, wrapped binary")
+    size = F.unhex(F.lpad(F.hex(F.length("wrapped").cast("bigint")), 8, "0"))
+    packed = encrypt(compress(F.col("document").cast("binary"), "GZIP"), F.col("key"))
+    return documents.join(F.broadcast(keys), "manifest_id").select("manifest_id", F.concat(size, F.col("wrapped"), packed).alias("data"))
+
+
 def tables(documents: DataFrame) -> dict[str, DataFrame]:
     """manifests, files and archive_entries of documents; paths are plain, ids come from the maps' keys."""
     rows = documents.where(F.col("file_name_prefix").isNotNull()).withColumnRenamed("file_name_prefix", "manifest_id")
