@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="cairn-scratch-")
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    path = spark.conf.get(SCRATCH_KEY, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="cairn-scratch-")
-        spark.conf.set(SCRATCH_KEY, path)
-    return path.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process's own where it is unset (tests)."""
+    return (spark.conf.get(SCRATCH_KEY, None) or _own_folder()).rstrip("/")
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:

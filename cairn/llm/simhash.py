@@ -8,9 +8,10 @@ perfect binary Golay code (23, 12, 7). With at most four errors over three segme
 segments have exactly one each and the last at most two. The first case is a key of the exact segment (a codeword and its
 error pattern) and a fifth of the rest, one of which has no error either. For the second, every word has one home, the
 nearest codeword (distance 3 or less), and up to six probes, the codewords within distance 4. If two words differ in one bit,
-each one's home is among the other's probes, so two segments' probes joined with two segments' homes, and with a
-third of the last segment, one of which has no error, miss no such pair. Keys have some 30 bits, so that candidates
-stay few; they are verified by counting differing bits.
+each one's home is among the other's probes. So one text's (probe, home) of the two segments meets the other's (home,
+probe) in a key of one's home and the other's home, some five keys each; with a third of the last segment, one of which
+has no error, they miss no such pair. Keys have some 30 bits, so that candidates stay few; they are verified by
+counting differing bits.
 
 Buckets are cut into blocks of bounded size and verified block by block; a pair of blocks gives a spanning
 forest of its links, never all of its pairs, so a group of copies costs as many links as it has members. Before the
@@ -29,6 +30,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,9 @@ from .common import components, keep, table
 BITS = 4
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Hashes of near_duplicates, and the bits of its sketches; MARGIN is about the standard error of the similarity.
+KINDS, SKETCH_LOG, MARGIN = 2, 9, 0.03
+SKETCH = 1 << SKETCH_LOG
 #: Members of a bucket that are compared in one piece.
 BLOCK = 1024
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -115,13 +120,13 @@ def _parts(value: np.ndarray, size: int, n: int) -> list[np.ndarray]:
 
 
 def exact_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint): each segment, with each fifth of the rest: four errors leave one fifth as it is."""
+    """Keys and the places of their fingerprints: each segment, with each fifth of the rest: four errors leave one fifth as it is."""
     s, keys = _segments(fps), []
     for k in range(3):
         (b, nb), (c, nc) = ((s[i], SEGMENTS[i][1]) for i in range(3) if i != k)
         for j, part in enumerate(_parts((b << nc) | c, nb + nc, BITS + 1)):
             keys.append(((k * 8 + j) << 40) | (s[k] << 16) | part)
-    return np.concatenate(keys), np.tile(fps, len(keys))
+    return np.concatenate(keys), np.tile(np.arange(len(fps)), len(keys))
 
 
 def _pairs(s: list[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -132,81 +137,92 @@ def _pairs(s: list[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray]]:
             yield k * 8 + j, a, b, part
 
 
-def home_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint): the two homes of each pair of segments, with each third of the last segment."""
+def _fuzzy(fps: np.ndarray, probed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places: for each pair of segments and third of the last one, the probes of one of the pair with the home of the other."""
     s = _segments(fps)
-    homes = [_decoded(x)[0] for x in s]
-    keys = [(k << 40) | (homes[a] << 20) | (homes[b] << 8) | part for k, a, b, part in _pairs(s)]
-    return np.concatenate(keys), np.tile(fps, len(keys))
-
-
-def probe_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint): every pair of probes of each pair of segments, with each third of the last segment."""
-    s = _segments(fps)
-    found = [_decoded(x)[1:] for x in s]
     keys, who = [], []
-    for k, a, b, part in _pairs(s):
-        (pa_, na), (pb, nb) = found[a], found[b]
-        every = (k << 40) | (pa_[:, :, None] << 20) | (pb[:, None, :] << 8) | part[:, None, None]
-        valid = (np.arange(6)[None, :, None] < na[:, None, None]) & (np.arange(6)[None, None, :] < nb[:, None, None])
-        keys.append(every[valid])
-        who.append(np.repeat(fps, na * nb))
+    for k, *pair, part in _pairs(s):
+        _, probes, count = _decoded(s[pair[probed]])
+        home = _decoded(s[pair[1 - probed]])[0]
+        every = (k << 40) | (probes << (20 if probed == 0 else 8)) | (home << (8 if probed == 0 else 20))[:, None] | part[:, None]
+        keys.append(every[np.arange(6)[None, :] < count[:, None]])
+        who.append(np.repeat(np.arange(len(fps)), count))
     return np.concatenate(keys), np.concatenate(who)
 
 
-def _keyed(fps: DataFrame, make, extra: str | None = None) -> DataFrame:
-    """(key, fp) and one further column of fps."""
+def left_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places: probes of a pair's first segment with the home of its second."""
+    return _fuzzy(fps, 0)
+
+
+def right_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places: the home of a pair's first segment with probes of its second."""
+    return _fuzzy(fps, 1)
+
+
+def _keyed(nodes: DataFrame, make, extra: str | None = None) -> DataFrame:
+    """(key, node) and one further column of nodes (node, fps: a fingerprint of each kind, ...)."""
+    rows = nodes.select("node", F.posexplode("fps").alias("kind", "fp"), *([extra] if extra else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                own = np.ascontiguousarray(part.column(0).to_numpy(zero_copy_only=False))
-                keys, who = make(own)
-                columns = [pa.array(keys), pa.array(who)]
+                node, kind, fp = (np.ascontiguousarray(part.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
+                keys, who = make(fp)
+                columns = [pa.array(keys | kind.astype(np.int64)[who] << 56), pa.array(node[who])]
                 if extra:
-                    order = np.argsort(own)
-                    columns.append(part.column(1).take(pa.array(order[np.searchsorted(own[order], who)])))
-                yield pa.RecordBatch.from_arrays(columns, ["key", "fp", *([extra] if extra else [])])
+                    columns.append(part.column(3).take(pa.array(who)))
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", *([extra] if extra else [])])
 
-    return fps.mapInArrow(run, "key long, fp long" + (f", {extra} long" if extra else ""))
+    return rows.mapInArrow(run, "key long, node long" + (f", {extra} long" if extra else ""))
 
 
-def _forest(x: np.ndarray, y: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links (node, root) that span the same groups as all links between x and y."""
-    near = np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]) <= bits
+def _near(x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """Which signatures (rows of words) differ in at most `limit` bits; x and y are broadcast against each other."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) <= limit
+
+
+def _forest(nx: np.ndarray, sx: np.ndarray, ny: np.ndarray, sy: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Links (node, root) that span the same groups as all links between the nodes nx and ny with signatures sx and sy."""
+    # row by row, so that what is held at once doesn't grow with the block's square times the signature
+    near = np.stack([_near(sx[i], sy, limit) for i in range(len(sx))])
     rows, cols = near.any(1), near.any(0)
-    x, y, near = x[rows], y[cols], near[rows][:, cols]
-    if not len(x):
+    nx, ny, near = nx[rows], ny[cols], near[rows][:, cols]
+    if not len(nx):
         return []
     top = np.iinfo(np.int64).max
-    lx, ly = x.copy(), y.copy()
+    lx, ly = nx.copy(), ny.copy()
     while True:
-        nx = np.minimum(lx, np.where(near, ly[None, :], top).min(1))
-        ny = np.minimum(ly, np.where(near, nx[:, None], top).min(0))
-        if (nx == lx).all() and (ny == ly).all():
+        mx = np.minimum(lx, np.where(near, ly[None, :], top).min(1))
+        my = np.minimum(ly, np.where(near, mx[:, None], top).min(0))
+        if (mx == lx).all() and (my == ly).all():
             break
-        lx, ly = nx, ny
-    return [(a, b) for a, b in zip([*x.tolist(), *y.tolist()], [*lx.tolist(), *ly.tolist()], strict=True) if a != b]
+        lx, ly = mx, my
+    return [(a, b) for a, b in zip([*nx.tolist(), *ny.tolist()], [*lx.tolist(), *ly.tolist()], strict=True) if a != b]
 
 
-def verify(units: DataFrame, bits: int) -> DataFrame:
-    """units (x, y: arrays of fingerprints) to links (a, b)."""
+def verify(units: DataFrame, limit: int) -> DataFrame:
+    """units (x, y: arrays of struct<node, sign>) to links (a, b) of nodes whose signatures differ in at most `limit` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            xs, ys = batch.column(0), batch.column(1)
-            nx, ny = (np.diff(np.asarray(c.offsets)) for c in (xs, ys))
-            fx, fy = (np.ascontiguousarray(c.flatten().to_numpy(zero_copy_only=False)) for c in (xs, ys))
-            ox, oy = (np.concatenate([[0], np.cumsum(n)]) for n in (nx, ny))
+            a, b, sides = [], [], []
+            for column in (batch.column(0), batch.column(1)):
+                # flatten() follows the slice of the batch; lengths follow from the lists themselves
+                nodes_, signs_ = column.flatten().flatten()
+                size = np.asarray(pc.list_value_length(column))
+                node = np.ascontiguousarray(nodes_.to_numpy(zero_copy_only=False))
+                sign = np.ascontiguousarray(signs_.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+                sides.append((size, np.concatenate([[0], np.cumsum(size)]), node, sign.reshape(len(node), -1) if len(node) else sign.reshape(0, 1)))
+            (nx, ox, fx, sx), (ny, oy, fy, sy) = sides
             single = np.flatnonzero((nx == 1) & (ny == 1))
-            p, q = fx[ox[single]], fy[oy[single]]
-            good = (np.bitwise_count(p.view(np.uint64) ^ q.view(np.uint64)) <= bits) & (p != q)
-            a += p[good].tolist()
-            b += q[good].tolist()
+            p, q = ox[single], oy[single]
+            good = _near(sx[p], sy[q], limit) & (fx[p] != fy[q]) if len(single) else np.zeros(0, bool)
+            a += fx[p[good]].tolist()
+            b += fy[q[good]].tolist()
             for i in np.flatnonzero(nx * ny > 1).tolist():
-                for u, v in _forest(fx[ox[i] : ox[i + 1]], fy[oy[i] : oy[i + 1]], bits):
+                for u, v in _forest(fx[ox[i] : ox[i + 1]], sx[ox[i] : ox[i + 1]], fy[oy[i] : oy[i + 1]], sy[oy[i] : oy[i + 1]], limit):
                     a.append(u)
                     b.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -215,35 +231,45 @@ def verify(units: DataFrame, bits: int) -> DataFrame:
 
 
 def _blocked(keyed: DataFrame, blocks: str, name: str) -> DataFrame:
-    """(key, block, members) with some BLOCK members each at most on the mean."""
-    block = F.when(F.col(blocks) == 1, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("fp"), F.col(blocks)))
-    return keyed.withColumn("block", block).groupBy("key", "block").agg(F.collect_list("fp").alias(name))
+    """(key, block, members) with some BLOCK members each at most on the mean; keyed has key, node, sign and blocks."""
+    block = F.when(F.col(blocks) == 1, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("node"), F.col(blocks)))
+    return keyed.withColumn("block", block).groupBy("key", "block").agg(F.collect_list(F.struct("node", "sign")).alias(name))
 
 
-def link_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """fps (fp, distinct) to (node, root) of all fingerprints that have a link."""
-    if bits > BITS:
-        raise ValueError(f"three segments find all links of up to {BITS} bits")
-    exact = _keyed(fps, exact_keys)
+def link_components(nodes: DataFrame, limit: int = BITS) -> DataFrame:
+    """nodes (node, fps, sign) to (node, root) of all nodes.
+
+    Two nodes are candidates if fingerprints of one kind differ in at most BITS bits, and linked if their signatures
+    (arrays of words) differ in at most `limit` bits.
+    """
+    signs = nodes.select("node", "sign")
+    exact = _keyed(nodes, exact_keys)
     held = exact.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    parts = _blocked(exact.join(held, "key"), "blocks", "members")
+    parts = _blocked(exact.join(held, "key").join(signs, "node"), "blocks", "members")
     units = parts.select("key", "block", F.col("members").alias("x")).join(parts.select("key", F.col("block").alias("other"), F.col("members").alias("y")), "key").where("block <= other")
-    first = keep(verify(units.select("x", "y"), bits), "exactlinks")
-    roots = components(first)
-    known = keep(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
-    homes = _keyed(known, home_keys, "root")
+    first = keep(verify(units.select("x", "y"), limit), "exactlinks")
+    roots = components(first).withColumnRenamed("node", "of")
+    known = keep(nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fps", "sign", F.coalesce("root", "node").alias("root")), "roots")
+    signs = known.select("node", "sign")
+    homes = _keyed(known, right_keys, "root")
     buckets = homes.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).drop("n")
     # a probe whose bucket holds its own group only cannot add a link between groups
-    probes = _keyed(known, probe_keys, "root").alias("p").join(buckets.alias("h"), (F.col("p.key") == F.col("h.key")) & ~((F.col("h.low") == F.col("h.high")) & (F.col("h.low") == F.col("p.root")))).select("p.key", "fp", "blocks")
-    probes = _blocked(probes, "blocks", "y").select("key", "y")
-    wanted = homes.select("key", "fp").join(buckets.select("key", "blocks"), "key")
-    units = _blocked(wanted, "blocks", "x").select("key", "x").join(probes, "key").select("x", "y")
-    second = verify(units, bits).join(known.select(F.col("fp").alias("a"), F.col("root").alias("ra")), "a").join(known.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b")
+    probes = _keyed(known, left_keys, "root").alias("p").join(buckets.alias("h"), (F.col("p.key") == F.col("h.key")) & ~((F.col("h.low") == F.col("h.high")) & (F.col("h.low") == F.col("p.root")))).select("p.key", "node", "blocks")
+    probes = keep(probes, "probes")
+    asked = _blocked(probes.join(signs, "node"), "blocks", "y").select("key", "y")
+    wanted = homes.select("key", "node").join(probes.select("key", "blocks").distinct(), "key").join(signs, "node")
+    units = _blocked(wanted, "blocks", "x").select("key", "x").join(asked, "key").select("x", "y")
+    ends = known.select("node", "root")
+    second = verify(units, limit).join(ends.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
     between = second.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    more = components(between).withColumnRenamed("root", "joined")
+    more = components(between).select(F.col("node").alias("of"), F.col("root").alias("joined"))
     # groups of the first case, renamed where the second case joins them
-    grouped = known.join(more, F.col("root") == F.col("node"), "left").select(F.col("fp").alias("n"), F.coalesce("joined", "root").alias("r"))
-    return grouped.select(F.col("n").alias("node"), F.col("r").alias("root"))
+    return ends.join(more, F.col("root") == F.col("of"), "left").select("node", F.coalesce("joined", "root").alias("root"))
+
+
+def by_fingerprint(fps: DataFrame) -> DataFrame:
+    """nodes of distinct fingerprints (fp), which are their own ids and signatures."""
+    return fps.select(F.col("fp").alias("node"), F.array("fp").alias("fps"), F.array("fp").alias("sign"))
 
 
 def fingerprints(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
@@ -262,7 +288,7 @@ def simhash_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", wid
     """(doc, fp, component): component is the smallest document id reachable over links."""
     prints = keep(fingerprints(docs, doc, text, width), "prints")
     firsts = keep(prints.groupBy("fp").agg(F.min("doc").alias("first")), "firsts")
-    roots = link_components(firsts.select("fp"))
+    roots = link_components(by_fingerprint(firsts.select("fp")), bits)
     rooted = firsts.join(roots, F.col("fp") == F.col("node")).select("fp", "first", "root")
     rooted = keep(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
@@ -270,6 +296,78 @@ def simhash_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", wid
     return prints.join(named, F.col("fp") == F.col("of")).select("doc", "fp", "component")
 
 
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Another hash of hashes."""
+    x = h ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 8192):
+        counts += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+@lru_cache(maxsize=1)
+def _detours() -> np.ndarray:
+    """For each bin, the bins that it borrows from when it is empty, in order."""
+    return np.random.default_rng(SEED).permuted(np.tile(np.arange(SKETCH), (SKETCH, 1)), axis=1)
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """SKETCH bits of one-permutation min-hashing: each bin's least hash gives a bit; two sets' bits agree with probability (1 + J) / 2."""
+    ordered = np.unique(hashes)
+    bins, first = np.unique(ordered >> np.uint64(64 - SKETCH_LOG), return_index=True)
+    bins = bins.astype(np.int64)
+    held, full = np.zeros(SKETCH, np.uint64), np.zeros(SKETCH, bool)
+    held[bins] = ordered[first]
+    full[bins] = True
+    if len(bins) and not full.all():
+        empty = np.flatnonzero(~full)
+        ways = _detours()[empty]
+        held[empty] = held[ways[np.arange(len(empty)), full[ways].argmax(1)]]
+    # the bin takes part, so that the bits of a borrowed hash are bits of their own
+    bits = (_mixed(held ^ (np.arange(SKETCH, dtype=np.uint64) << np.uint64(32)), 9) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, kinds: int = KINDS) -> DataFrame:
+    """(doc, group) of every document with an id: group is the smallest id reachable over near-duplicate links.
+
+    Candidates are texts whose fingerprints of distinct words, of one of `kinds` hashes, meet in a Golay key; a link is a
+    Jaccard similarity of `width`-word shingles of `similarity` or more, measured by sketches of SKETCH bits with a
+    margin of one standard error (MARGIN), so that pairs at the border are kept together. Equal word sequences are one
+    node from the start, so a group of exact copies is one row in what follows.
+    """
+    ids = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same, prints, signs = [], [], []
+            for t in b.column(1):
+                words = (t.as_py() or b"").lower().split()
+                whole = b" ".join(words)
+                same.append(xxhash.xxh128_digest(whole))
+                own = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in sorted(set(words))), np.uint64)
+                prints.append([_majority(_mixed(own, k)) for k in range(kinds)])
+                starts = [0, *accumulate(len(w) + 1 for w in words)]
+                shingles = (whole,) if len(words) <= width else (whole[a : c - 1] for a, c in zip(starts, starts[width:], strict=False))
+                signs.append(sketch(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], ["doc", "same", "fps", "sign"])
+
+    made = keep(ids.mapInArrow(run, "doc long, same binary, fps array<long>, sign array<long>"), "sketches")
+    firsts = keep(made.groupBy("same").agg(F.min("doc").alias("node")), "firsts")
+    # one row of a class gives its fingerprints; all rows of a class have the same
+    nodes = keep(made.join(firsts, (F.col("doc") == F.col("node")) & (made["same"] == firsts["same"])).select("node", "fps", "sign").dropDuplicates(["node"]), "nodes")
+    limit = int(SKETCH * (1 - similarity + MARGIN) / 2)
+    roots = link_components(nodes, limit).select(F.col("node").alias("of"), F.col("root").alias("group"))
+    classes = firsts.join(roots, F.col("node") == F.col("of")).select(F.col("same").alias("class"), "group")
+    return made.join(classes, F.col("same") == F.col("class")).select("doc", "group")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -103,7 +103,7 @@ def test_golay_keys_miss_no_pair_of_four_bits():
                 v ^= 1 << b
             pair = [np.array([x], np.uint64).view(np.int64) for x in (u, v)]
             exact = set(simhash.exact_keys(pair[0])[0].tolist()) & set(simhash.exact_keys(pair[1])[0].tolist())
-            fuzzy = set(simhash.home_keys(pair[0])[0].tolist()) & set(simhash.probe_keys(pair[1])[0].tolist())
+            fuzzy = set(simhash.left_keys(pair[0])[0].tolist()) & set(simhash.right_keys(pair[1])[0].tolist())
             assert exact or fuzzy
 
 
@@ -125,7 +125,7 @@ def test_links_of_planted_clusters(spark):
             found[v] = None
     signed = {int(np.array([x], np.uint64).view(np.int64)[0]): x for x in found}
     rows = spark.createDataFrame([(s,) for s in signed], "fp long")
-    roots = {r.node: r.root for r in simhash.link_components(rows).collect()}
+    roots = {r.node: r.root for r in simhash.link_components(simhash.by_fingerprint(rows)).collect()}
     mine = collections.defaultdict(set)
     for s in signed:
         mine[roots.get(s, s)].add(s)
@@ -136,6 +136,36 @@ def test_links_of_planted_clusters(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_near_duplicates(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("a", "ea", "ion", "or", "ust", "y")]
+    text = lambda n: [rng.choice(words) + rng.choice(words) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):
+        own = text(300)
+        near = list(own)
+        for at in rng.sample(range(300), 2):
+            near[at] = "changed" + near[at]
+        far = [w if rng.random() < 0.7 else rng.choice(words) for w in own]
+        rows += [(10 * k, " ".join(own)), (10 * k + 1, "\n".join(own).upper()), (10 * k + 2, " ".join(near)), (10 * k + 3, " ".join(far)), (10 * k + 4, rng.choice(words) + rng.choice(words) + str(k))]
+        want |= {10 * k: 10 * k, 10 * k + 1: 10 * k, 10 * k + 2: 10 * k, 10 * k + 3: 10 * k + 3, 10 * k + 4: 10 * k + 4}
+    got = {r.doc: r.group for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[d] == want[d] for d in want if d % 10 != 2)
+    assert sum(got[d] == want[d] for d in want if d % 10 == 2) >= 36
+
+
+def test_sketches_measure_similarity():
+    rng = np.random.default_rng(6)
+    for shared, own in ((400, 50), (40, 5), (4, 1), (0, 1), (0, 300)):
+        found = []
+        for _ in range(30):
+            h = rng.integers(0, 1 << 63, shared + 2 * own).astype(np.uint64) * np.uint64(2)
+            a, b = (np.array(simhash.sketch(x), np.int64).view(np.uint64) for x in (h[: shared + own], np.concatenate([h[:shared], h[shared + own :]])))
+            found.append(1 - 2 * int(np.bitwise_count(a ^ b).sum()) / simhash.SKETCH)
+        assert abs(np.mean(found) - shared / (shared + 2 * own)) < 0.08
+
+
 # --- audio -----------------------------------------------------------------------------------------------------------
 
 
