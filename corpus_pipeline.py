@@ -17,12 +17,12 @@ from cairn.llm.decontaminate import remove_leaks
 from cairn.llm.lang_id import UNKNOWN, fold, identify, train
 from cairn.llm.line_dedup import dedup_lines
 from cairn.llm.mixing import mix
-from cairn.llm.simhash import simhash_groups
+from cairn.llm.simhash import near_duplicates
 
 #: Least calibrated probability of the predicted language.
 LEAST_SCORE = 0.5
-#: Words of a shingle in the near-dedup stage.
-SHINGLE = 5
+#: Words of a shingle and least similarity of a link in the near-dedup stage.
+SHINGLE, SIMILARITY = 5, 0.8
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -40,11 +40,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each SimHash group of five-word shingles."""
-    groups = simhash_groups(docs, width=SHINGLE)
-    first = groups.where(F.col("doc") == F.col("component")).select(F.col("doc").alias("first_"))
+    """The smallest id of each group of near-duplicates; documents without an id are not compared and stay."""
+    docs = docs.select(*COLUMNS)
+    groups = near_duplicates(docs, width=SHINGLE, similarity=SIMILARITY)
+    first = groups.where(F.col("doc") == F.col("group")).select(F.col("doc").alias("first_")).distinct()
     # ids only on the build side; rows that repeat the kept id are one document
-    return docs.select(*COLUMNS).join(first.distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("first_"), "left_semi").select(*COLUMNS)
+    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("first_"), "left_semi")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
