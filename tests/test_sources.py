@@ -48,6 +48,10 @@ def test_scan_with_patterns_keeps_parents_and_prunes_excluded(spark, tree):
     assert set(rows) == {"/", "/a", "/a/one.txt", "/b", "/b/three.txt"}
 
 
+def test_restore_targets_of_sources():
+    assert filesystem.target_roots(["/a/b", "/a/c/", "/z"], [("/a", "/r"), ("/a/b/", "/deep")]) == ["/deep", "/r/c", "/z"]
+
+
 def test_missing_path_gives_a_missing_row(tmp_path):
     assert filesystem.parse(str(tmp_path / "gone"))[10] == "MISSING"
 
