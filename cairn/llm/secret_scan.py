@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep, table
 
 
 @dataclass(frozen=True)
@@ -89,9 +89,12 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def scan_unseen(docs: DataFrame, path: str, text: str, scans: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(versions, todo, findings) of docs against a ledger's scans (blob_id, rule)."""
     held = docs.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob_id", blob_id(F.col("text")))
-    versions = held.select("path", "blob_id")
+    # hashes of all texts are computed once; the table has ids only
+    versions = keep(held.select("path", "blob_id"), "versions")
     todo = pending(versions, scans, rules)
-    # the build side holds ids only; texts stream past it without a sort
+    # The build side holds ids only; texts stream past it without a sort. Where every rule version is unseen, as in a
+    # first run, the optimizer moves the scan before this join: a blob's copies are then scanned where they lie, which
+    # costs less than a shuffle of all texts, and one of them goes on.
     owners = todo.select(F.col("blob_id").alias("owned"), F.col("path").alias("owner"), "rules").hint("shuffle_hash")
     texts = held.join(owners, (F.col("blob_id") == F.col("owned")) & F.col("path").eqNullSafe(F.col("owner"))).select("blob_id", "text", "rules")
     return versions, todo, scan(texts, rules)
@@ -146,6 +149,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda keep: F.array_join(F.transform(F.filter("found", keep), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("found", lambda x: x["at"] == k)).cast("bigint")
     digest = per.select("blob_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(lambda x: x["at"] < BASE), 256).alias("base_sha256"), joined(lambda x: F.lit(True)).alias("spans"))
+    # written first: the join that follows has plain exchanges on both sides, so that a blob of very many paths is split
+    digest = keep(digest, "digests")
     zero, none = F.lit(0).cast("bigint"), F.sha2(F.lit(""), 256)
     return versions.join(digest, "blob_id", "left").select(F.col("path").alias("doc_id"), *[F.coalesce(c, zero).alias(c) for c in ("n_assign", "n_access", "n_hex")], F.coalesce("base_sha256", none).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
