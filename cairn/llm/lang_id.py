@@ -145,12 +145,16 @@ def train(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text
     """Fit on at most `sample` rows (or LEAST_PER_LANG of each language, if that is more) of docs where `learn` holds."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
     labelled = rows.select(F.col(doc).alias("doc"), F.col(lang).alias("lang"))
-    kinds = labelled.select("lang").distinct().count()
-    if not kinds:
+    # a row a language
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
-    each = max(LEAST_PER_LANG, sample // kinds)
+    each = max(LEAST_PER_LANG, sample // len(counts))
+    # only rows whose hash is low enough to be among the first `each` of their language, with a wide margin, are ranked
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, (2 * each + 100) / n)))])
+    low = (F.xxhash64("doc").cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")]
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
-    picked = labelled.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each).select("doc", "lang").distinct()
+    picked = labelled.where(low).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each).select("doc", "lang").distinct()
     chosen = rows.select(F.col(doc).alias("doc"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(picked, ["doc", "lang"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
