@@ -1,12 +1,12 @@
 """Language-model scoring: a unigram base and prediction by partial matching over bytes.
 
-Pretrained mode: byte strings of up to ORDER + 1 are counted over all training texts. Strings at or over a fixed
-share of all counted bytes become nodes of the context trie: at most 1/SHARE nodes a length at any corpus
-size, which bounds what is broadcast. A symbol's probability starts at the longest known context; an unseen symbol
-pays the escape estimate of method D (half a count for each distinct symbol, and what the context's pruned symbols
-count for) and is looked up in the next shorter context
-without the symbols that the longer one had (symbol exclusion), down to a uniform order. Equal grams are
-looked up once a batch. Adaptive mode: the same estimates with counts of the document's own past only.
+Pretrained mode: byte strings of up to ORDER + 1 are counted over all training texts, and every one of them is a node
+of the context trie. A symbol's probability starts at the longest known context; an unseen symbol
+pays the escape estimate of method D (half a count for each distinct symbol) and is looked up in the next shorter context
+without the symbols that the longer one had (symbol exclusion), down to a uniform order. A gram's probability
+depends on the gram alone, so it is worked out once for each distinct gram, by joins over the whole count tables. Grams at or
+over GRAM_SHARE of all counted bytes are looked up in a broadcast table, which only saves shuffling; all others, seen or
+unseen, by a shuffled join of (row, gram). Adaptive mode: the same estimates with counts of the document's own past only.
 
 Base: words' log10((c + 1) / (N + V + 1)). Frequent words (at or over the same share of all tokens) are looked
 up in a broadcast table, the rest by a shuffled join of (row, word) with the words' counts.
@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from .common import keep, table
 
 ORDER = 5
-#: Share of all counted bytes, or tokens, from which a string is a node, or a word is broadcast.
-SHARE = 2.0**-20
+#: Share of all tokens from which a word is broadcast, and of all counted bytes from which a gram is; the rest is joined.
+SHARE, GRAM_SHARE = 2.0**-20, 2.0**-22
 #: Bytes that UTF-8 never has: before a text, and its end.
 PAD, END = 0xFE, 0xFF
 #: Symbols of the uniform order: every byte but PAD.
@@ -40,6 +40,8 @@ ALPHABET = 255
 PIECE = 4 << 20
 #: Distinct grams, or words, that a task holds before it hands them on.
 HELD = 1 << 20
+#: Grams of a text that are not broadcast, and how often it has them.
+GRAMS = pa.list_(pa.struct([("gram", pa.int64()), ("c", pa.int64())]))
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -196,8 +198,75 @@ class Trie:
         return out
 
 
+def _tail(gram: Column, size: int) -> Column:
+    """The last `size` bytes of packed strings."""
+    return gram.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def strings(full: DataFrame, size: int) -> DataFrame:
+    """(node, n) of all strings of `size` bytes, from the grams of ORDER + 1; those of at most two bytes are few."""
+    found = full.groupBy(_tail(F.col("gram"), size).alias("node")).agg(F.sum("n").alias("n"))
+    return F.broadcast(found) if size <= 2 else found
+
+
+def contexts(full: DataFrame, size: int) -> DataFrame:
+    """(context, total, distinct, shorter) of all contexts of `size` bytes: their symbols' count, their number, and their count in the next shorter context."""
+    below = strings(full, size).select(F.col("node").alias("below"), F.col("n").alias("own"))
+    nodes = strings(full, size + 1).join(below, _tail(F.col("node"), size) == F.col("below"))
+    found = nodes.groupBy(F.shiftright("node", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("own").alias("shorter"))
+    return F.broadcast(found) if size <= 2 else found
+
+
+def seen_log10(full: DataFrame) -> DataFrame:
+    """(gram, n, value): log10 of the probability of the last byte of each counted gram."""
+    totals = full.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"))
+    return full.join(totals, F.shiftright("gram", 8) == F.col("context")).select("gram", "n", F.log10((F.col("n") - 0.5) / F.col("total")).alias("value"))
+
+
+def unseen_log10(asked: DataFrame, full: DataFrame) -> DataFrame:
+    """(gram, value) of distinct grams that no training text has; the steps of Trie.log10 as joins."""
+    total, distinct = strings(full, 1).agg(F.sum("n"), F.count("*")).first()
+    none = F.lit(0).cast("bigint")
+    now = asked.select("gram", F.lit(0.0).alias("value"), F.lit(False).alias("done"), none.alias("gone_d"), none.alias("gone_n"))
+    for k in range(ORDER, -1, -1):
+        if k:
+            now = now.join(contexts(full, k), _tail(F.shiftright("gram", 8), k) == F.col("context"), "left")
+        else:
+            now = now.withColumns({"total": F.lit(total), "distinct": F.lit(distinct), "shorter": none})
+        # the whole gram is unseen
+        now = now.join(strings(full, k + 1), _tail(F.col("gram"), k + 1) == F.col("node"), "left") if k < ORDER else now.withColumn("n", F.lit(None).cast("bigint"))
+        hit, known = ~F.col("done") & F.col("n").isNotNull(), ~F.col("done") & F.col("total").isNotNull()
+        room, escapes = F.col("total") - F.col("gone_n"), (F.col("distinct") - F.col("gone_d")) / 2
+        paid = F.when(hit, F.log10((F.col("n") - 0.5) / room)).when(known & (escapes > 0), F.log10(escapes / room)).otherwise(0.0)
+        now = now.select("gram", (F.col("value") + paid).alias("value"), (F.col("done") | hit).alias("done"), F.when(known, F.col("distinct")).otherwise(F.col("gone_d")).alias("gone_d"), F.when(known, F.col("shorter")).otherwise(F.col("gone_n")).alias("gone_n"))
+    return now.select("gram", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") - F.log10(F.lit(ALPHABET) - F.col("gone_d"))).alias("value"))
+
+
+def look_up(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """Each text's sum over the grams in `keys` (sorted), and its other grams with their counts."""
+    out = np.zeros(len(texts))
+    rest, often, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for ids, parts in batches_of(iter(enumerate(texts))):
+        g, of = grams(parts)
+        mixed = np.sort((g << np.uint64(16)) | of)
+        at = _runs(mixed)
+        n = np.diff(np.concatenate([at, [len(mixed)]]))
+        g, of = mixed[at] >> np.uint64(16), np.array(ids, np.int64)[(mixed[at] & np.uint64(0xFFFF)).astype(np.int64)]
+        where, known = _find(keys, g)
+        if known.any():
+            out += np.bincount(of[known], weights=n[known] * values[where[known]], minlength=len(texts))
+        rest.append(g[~known])
+        often.append(n[~known])
+        owner.append(of[~known])
+    of = np.concatenate(owner)
+    order = np.argsort(of, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(rest)[order].view(np.int64)), pa.array(np.concatenate(often)[order])], ["gram", "c"])
+    return out, pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+
 def train(texts: DataFrame, share: float = SHARE) -> Trie:
-    """The trie of all texts (one binary column): strings whose count is at least `share` of all counted bytes."""
+    """A trie for one process: strings whose count is at least `share` of all counted bytes; score_documents prunes nothing."""
     full = keep(count_grams(texts), "grams")
     total = full.agg(F.sum("n")).first()[0] or 0
     least = max(1, math.ceil(total * share))
@@ -251,8 +320,11 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score_documents(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", mode: str = "pretrained", share: float = SHARE) -> DataFrame:
-    """(doc, learnt, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row; `learn` marks training rows."""
+def score_documents(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", mode: str = "pretrained", share: float = SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
+    """(doc, learnt, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row; `learn` marks training rows.
+
+    `share` and `gram_share` decide what is broadcast, not what is counted.
+    """
     rows = docs.select(F.col(doc).alias("doc"), F.coalesce(learn, F.lit(False)).alias("learnt"), F.col(text).cast("binary").alias("text"))
     training = rows.where("learnt")
     counts = keep(count_words(training.select("text")), "words")
@@ -262,13 +334,26 @@ def score_documents(docs: DataFrame, learn: Column, doc: str = "doc_id", text: s
     least = max(1, math.ceil(total * share))
     frequent = counts.where(F.col("n") >= least).toArrow()
     head = dict(zip(frequent.column("word").to_pylist(), frequent.column("n").to_pylist(), strict=True))
-    trie = train(training.select("text"), share) if mode == "pretrained" else None
-    sent = docs.sparkSession.sparkContext.broadcast(({w: math.log10(n + 1) for w, n in head.items()}, trie))
+    keys, values = np.zeros(0, np.uint64), np.zeros(0)
+    full = seen = None
+    bytes_ = 0
+    if mode == "pretrained":
+        full = keep(count_grams(training.select("text")), "grams")
+        bytes_ = full.agg(F.sum("n")).first()[0] or 0
+    if bytes_:
+        seen = keep(seen_log10(full), "seen")
+        gram_least = max(1, math.ceil(bytes_ * gram_share))
+        common = seen.where(F.col("n") >= gram_least).select("gram", "value").toArrow()
+        keys, values = common.column("gram").to_numpy().astype(np.uint64), common.column("value").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        del common
+    sent = docs.sparkSession.sparkContext.broadcast(({w: math.log10(n + 1) for w, n in head.items()}, keys, values))
     del head, frequent
     end_part, all_part = math.log10(ends + 1), math.log10(total + kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = sent.value
+        known, keys, values = sent.value
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 b = whole.slice(begin, 512)
@@ -289,15 +374,27 @@ def score_documents(docs: DataFrame, learn: Column, doc: str = "doc_id", text: s
                     tokens.append(len(own) + 1)
                     hits.append(n)
                     base.append(part)
-                scores = model.score(texts) if model else np.array([adaptive_log10(t) for t in texts])
+                asked = pa.nulls(len(texts), GRAMS)
+                if bytes_:
+                    scores, asked = look_up(texts, keys, values)
+                elif mode == "pretrained":
+                    scores = np.array([-math.log10(ALPHABET) * (len(t.lower()) + 1) for t in texts])
+                else:
+                    scores = np.array([adaptive_log10(t) for t in texts])
                 tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(often, pa.int64())], ["word", "c"]))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), tail], ["doc", "learnt", "n_tokens", "hits", "part", "score", "n_bytes", "tail"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array([len(t) for t in texts], pa.int64()), tail, asked], ["doc", "learnt", "n_tokens", "hits", "part", "score", "n_bytes", "tail", "asked"])
 
-    schema = T.StructType([rows.schema["doc"], T.StructField("learnt", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "hits")], T.StructField("part", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType()), T.StructField("tail", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())])))])
+    schema = T.StructType([rows.schema["doc"], T.StructField("learnt", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "hits")], T.StructField("part", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("n_bytes", T.LongType()), T.StructField("tail", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("c", T.LongType())]))), T.StructField("asked", T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("c", T.LongType())])))])
     scored = keep(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = counts.where(F.col("n") < least)
     tails = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.c").join(rare, "word").groupBy("row").agg(F.sum(F.col("c") * F.log10(F.col("n") + 1)).alias("more"), F.sum("c").alias("found"))
-    out = scored.drop("tail").join(tails, "row", "left")
+    out = scored.drop("tail", "asked").join(tails, "row", "left")
+    if bytes_:
+        asked = scored.select("row", F.explode("asked").alias("t")).select("row", "t.gram", "t.c")
+        unseen = keep(unseen_log10(asked.select("gram").distinct().join(full, "gram", "left_anti"), full), "unseen")
+        each = seen.where(F.col("n") < gram_least).select("gram", "value").unionAll(unseen)
+        others = asked.join(each, "gram").groupBy("row").agg(F.sum(F.col("c") * F.col("value")).alias("others"))
+        out = out.join(others, "row", "left").withColumn("score", F.col("score") + F.coalesce("others", F.lit(0.0)))
     base = F.col("part") + F.coalesce("more", F.lit(0.0)) + F.lit(end_part) - F.col("n_tokens") * F.lit(all_part)
     n_known = F.col("hits") + F.coalesce("found", F.lit(0)) + F.lit(int(ends > 0))
     return out.select("doc", "learnt", "n_tokens", n_known.cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")

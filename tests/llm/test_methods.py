@@ -331,6 +331,16 @@ def test_trie_scores_equal_the_plain_form(spark, share):
         assert math.isclose(x, plain_ppm(training, t, max(1, math.ceil(total * share))), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("share", [1.0, 0.1, 2.0**-40])
+def test_every_counted_gram_scores_whatever_is_broadcast(spark, share):
+    training = ["abracadabra alakazam", "Abra abra kadabra", "ñandú über", "", "abra"]
+    tests = ["abrakadabra", "zebra", "", None, "über alles", "ABRA", "\x00~"]
+    rows = spark.createDataFrame([*enumerate(training), *((100 + i, t) for i, t in enumerate(tests))], "doc_id long, text string")
+    out = {r.doc: r.score for r in ppm.score_documents(rows, F.col("doc_id") < 100, share=share, gram_share=share).collect()}
+    for i, t in [*enumerate(training), *((100 + i, t) for i, t in enumerate(tests))]:
+        assert math.isclose(out[i], plain_ppm([x.encode() for x in training], (t or "").encode(), 1), rel_tol=1e-9)
+
+
 def test_probabilities_sum_to_one(spark):
     trie = ppm.train(spark.createDataFrame([(bytearray(b"abracadabra " * 3),)], "text binary"), 2.0**-40)
     for context in (b"cadab", b"xxxxx", b"\xfe\xfe\xfe\xfe\xfe"):
