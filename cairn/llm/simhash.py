@@ -44,6 +44,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Hashes of near_duplicates, and the bits of its sketches; MARGIN is about the standard error of the similarity.
 KINDS, SKETCH_LOG, MARGIN = 2, 9, 0.03
 SKETCH = 1 << SKETCH_LOG
+#: Keys of near_duplicates from min-hashes of shingles: a pair of similarity J shares none with probability (1 - J^ROWS)^BANDS, 7e-5 at 0.8.
+BANDS, ROWS = 24, 5
 #: Members of a bucket that are compared in one piece.
 BLOCK = 1024
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -240,10 +242,12 @@ def link_components(nodes: DataFrame, limit: int = BITS) -> DataFrame:
     """nodes (node, fps, sign) to (node, root) of all nodes.
 
     Two nodes are candidates if fingerprints of one kind differ in at most BITS bits, and linked if their signatures
-    (arrays of words) differ in at most `limit` bits.
+    (arrays of words) differ in at most `limit` bits. A further column `bands` holds keys that make candidates as they are.
     """
     signs = nodes.select("node", "sign")
     exact = _keyed(nodes, exact_keys)
+    if "bands" in nodes.columns:
+        exact = exact.unionByName(nodes.select(F.explode("bands").alias("key"), "node"))
     held = exact.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     parts = _blocked(exact.join(held, "key").join(signs, "node"), "blocks", "members")
     units = parts.select("key", "block", F.col("members").alias("x")).join(parts.select("key", F.col("block").alias("other"), F.col("members").alias("y")), "key").where("block <= other")
@@ -334,10 +338,28 @@ def sketch(hashes: np.ndarray) -> list[int]:
     return np.packbits(bits, bitorder="little").view("<i8").tolist()
 
 
+@lru_cache(maxsize=1)
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """BANDS keys, each of ROWS min-hashes of a set."""
+    salts, odd = _multipliers()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[at : at + 1024, None] ^ salts) * odd).min(0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k, row in enumerate(least.reshape(BANDS, ROWS).T):
+        keys = _mixed(keys ^ row, k + 1)
+    return keys.view(np.int64).tolist()
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, kinds: int = KINDS) -> DataFrame:
     """(doc, group) of every document with an id: group is the smallest id reachable over near-duplicate links.
 
-    Candidates are texts whose fingerprints of distinct words, of one of `kinds` hashes, meet in a Golay key; a link is a
+    Candidates are texts that share a key of min-hashes of their `width`-word shingles (band_keys), or
+    whose fingerprints of distinct words, of one of `kinds` hashes, meet in a Golay key; a link is a
     Jaccard similarity of `width`-word shingles of `similarity` or more, measured by sketches of SKETCH bits with a
     margin of one standard error (MARGIN), so that pairs at the border are kept together. Equal word sequences are one
     node from the start, so a group of exact copies is one row in what follows.
@@ -346,7 +368,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, prints, signs = [], [], []
+            same, prints, signs, bands = [], [], [], []
             for t in b.column(1):
                 words = (t.as_py() or b"").lower().split()
                 whole = b" ".join(words)
@@ -355,13 +377,15 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
                 prints.append([_majority(_mixed(own, k)) for k in range(kinds)])
                 starts = [0, *accumulate(len(w) + 1 for w in words)]
                 shingles = (whole,) if len(words) <= width else (whole[a : c - 1] for a, c in zip(starts, starts[width:], strict=False))
-                signs.append(sketch(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))], ["doc", "same", "fps", "sign"])
+                hashes = np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64))
+                signs.append(sketch(hashes))
+                bands.append(band_keys(hashes))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc", "same", "fps", "sign", "bands"])
 
-    made = keep(ids.mapInArrow(run, "doc long, same binary, fps array<long>, sign array<long>"), "sketches")
+    made = keep(ids.mapInArrow(run, "doc long, same binary, fps array<long>, sign array<long>, bands array<long>"), "sketches")
     firsts = keep(made.groupBy("same").agg(F.min("doc").alias("node")), "firsts")
     # one row of a class gives its fingerprints; all rows of a class have the same
-    nodes = keep(made.join(firsts, (F.col("doc") == F.col("node")) & (made["same"] == firsts["same"])).select("node", "fps", "sign").dropDuplicates(["node"]), "nodes")
+    nodes = keep(made.join(firsts, (F.col("doc") == F.col("node")) & (made["same"] == firsts["same"])).select("node", "fps", "sign", "bands").dropDuplicates(["node"]), "nodes")
     limit = int(SKETCH * (1 - similarity + MARGIN) / 2)
     roots = link_components(nodes, limit).select(F.col("node").alias("of"), F.col("root").alias("group"))
     classes = firsts.join(roots, F.col("node") == F.col("of")).select(F.col("same").alias("class"), "group")

@@ -155,6 +155,34 @@ def test_near_duplicates(spark):
     assert sum(got[d] == want[d] for d in want if d % 10 == 2) >= 36
 
 
+def with_words(rng, own, n, prefix):
+    """own with n new words at random places."""
+    out = list(own)
+    for i in range(n):
+        out.insert(rng.randint(0, len(out)), f"{prefix}{i}")
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_insertions_and_small_vocabularies_are_near_duplicates(spark):
+    rng, rows, pairs = random.Random(9), [], []
+    for k in range(90):
+        size, vocabulary, new = ((300, 5000, 7), (500, 200, 7), (60, 60, 1))[k % 3]
+        own = [f"k{k}w{rng.randrange(vocabulary)}" for _ in range(size)]
+        near = own + [f"k{k}end{i}" for i in range(35)] if k % 3 == 0 else with_words(rng, own, new, f"k{k}new")
+        if jaccard(own, near) >= 0.85:
+            pairs.append(k)
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(near))]
+    got = {r.doc: r.group for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 75
+    assert sum(got[2 * k + 1] == got[2 * k] for k in pairs) >= len(pairs) - 1
+    assert len({got[2 * k] for k in pairs}) == len(pairs)
+
+
 def test_sketches_measure_similarity():
     rng = np.random.default_rng(6)
     for shared, own in ((400, 50), (40, 5), (4, 1), (0, 1), (0, 300)):
