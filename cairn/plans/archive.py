@@ -54,7 +54,7 @@ def index_lines(rows: DataFrame) -> DataFrame:
 
 def parse_index(lines: DataFrame) -> DataFrame:
     """Lines (prefix, line) to index rows; lines that are no entity's are left to `footer`."""
-    pattern = r"^(\d{8})\.([a-z_.]+):(.*)$"
+    pattern = r"^(\d{8,})\.([a-z_.]+):(.*)$"
     kv = lines.where(F.col("line").rlike(pattern)).select("prefix", F.regexp_extract("line", pattern, 1).cast("bigint").alias("ord"), F.regexp_extract("line", pattern, 2).alias("k"), F.nullif(F.regexp_extract("line", pattern, 3), F.lit("null")).alias("v"))
     maps = kv.groupBy("prefix", "ord").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
 
@@ -67,7 +67,7 @@ def parse_index(lines: DataFrame) -> DataFrame:
 
 def footer(lines: DataFrame) -> DataFrame:
     """One row a prefix; old index files have misspelt keys and no version."""
-    kv = lines.where(~F.col("line").rlike(r"^\d{8}\.")).select("prefix", F.regexp_extract("line", r"^([a-z_.]+):(.*)$", 1).alias("k"), F.regexp_extract("line", r"^([a-z_.]+):(.*)$", 2).alias("v"))
+    kv = lines.where(~F.col("line").rlike(r"^\d{8,}\.")).select("prefix", F.regexp_extract("line", r"^([a-z_.]+):(.*)$", 1).alias("k"), F.regexp_extract("line", r"^([a-z_.]+):(.*)$", 2).alias("v"))
     m = kv.groupBy("prefix").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     either = lambda *keys: F.coalesce(*[F.col("m")[k] for k in keys])
     return m.select(
