@@ -4,8 +4,9 @@ Every version of every path is addressed by the SHA-256 of its text. Only pairs
 that the ledger has not seen are scanned; findings belong to blobs and are joined back to all paths.
 DataFrame functions only.
 
-Defined results: null text is the empty text; equal texts are scanned once, whatever their number; repeated
-rows come back once each; an empty table gives no finding; other columns of the input are not read.
+Defined results: null text is the empty text; equal texts are scanned once, whatever their number (the copy under the
+smallest path; rows that repeat that path too are one after the scan); a null path is a path; repeated rows come back
+once each; an empty table gives no finding; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -91,10 +92,10 @@ def scan_unseen(docs: DataFrame, path: str, text: str, scans: DataFrame | None =
     held = docs.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob_id", blob_id(F.col("text")))
     # hashes of all texts are computed once; the table has ids only
     versions = keep(held.select("path", "blob_id"), "versions")
-    todo = pending(versions, scans, rules)
-    # The build side holds ids only; texts stream past it without a sort. Where every rule version is unseen, as in a
-    # first run, the optimizer moves the scan before this join: a blob's copies are then scanned where they lie, which
-    # costs less than a shuffle of all texts, and one of them goes on.
+    # Written, so that its rules are data: were they constants, as they are in a first run, the optimizer would move the
+    # scan below the join and scan every copy of a blob.
+    todo = keep(pending(versions, scans, rules), "todo")
+    # The build side holds ids only; texts stream past it without a sort, and only one copy of an unseen blob goes on.
     owners = todo.select(F.col("blob_id").alias("owned"), F.col("path").alias("owner"), "rules").hint("shuffle_hash")
     texts = held.join(owners, (F.col("blob_id") == F.col("owned")) & F.col("path").eqNullSafe(F.col("owner"))).select("blob_id", "text", "rules")
     return versions, todo, scan(texts, rules)
