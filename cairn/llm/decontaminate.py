@@ -3,7 +3,7 @@
 Benchmark items and documents are sequences of lower-cased word tokens (runs of letters and digits). Documents
 join the benchmark on shared seeds of SEED_TOKENS tokens (an item with fewer is one seed); for each document and item
 with a common seed, running Karp-Rabin greedy tiling marks the longest common runs first, never overlapping on
-either side, down to the seed's length. An item's coverage is the marked share of its tokens, so passages that come
+either side, while the search length falls to the seed's. An item's coverage is the marked share of its tokens, so passages that come
 reordered or in parts still add up. Pairs at or over the threshold are leaks.
 
 The benchmark is the stated query set: it is dealt into slices of bounded size, each broadcast against all rows.
@@ -40,66 +40,94 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if text else []
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
+#: Inverse of _BASE modulo 2^64: a window's polynomial, divided by the power of its place, is its hash.
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+class Running:
+    """Karp-Rabin hashes of a token sequence's windows of any length, from running sums of one polynomial modulo 2^64."""
+
+    def __init__(self, ids: np.ndarray):
+        values = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, len(ids) - 1), _BASE)]), dtype=np.uint64)[: len(ids)]
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(values * powers, dtype=np.uint64)])
+        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(ids), _INVERSE)]), dtype=np.uint64)
+
+    def windows(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        return (self.sums[size:] - self.sums[:n]) * self.back[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
 def rolling(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hash of every window of `size` ids: a polynomial in _BASE modulo 2^64, by Horner's rule over the window."""
-    n = len(ids) - size + 1
-    h = np.zeros(max(0, n), np.uint64)
-    for k in range(size if n > 0 else 0):
-        h = h * _BASE + (ids[k : k + n].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return h
+    """Hash of every window of `size` ids."""
+    return Running(ids).windows(size)
+
+
+def _open(free: np.ndarray, size: int) -> np.ndarray:
+    """Places of the windows of `size` tokens of which none is marked."""
+    marked = np.concatenate([[0], np.cumsum(~free)])
+    return np.flatnonzero(marked[size:] == marked[: len(marked) - size]) if len(free) >= size else np.zeros(0, np.int64)
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in doc, place in item, length), longest first, with running Karp-Rabin.
 
-    Only runs of unmarked tokens count. Each round finds all common windows of the current length by hash, extends
-    them to maximal runs and marks the longest; the length then falls to the longest run that is left.
+    Only runs of unmarked tokens count; negative tokens match nothing. The search length falls: each round finds the
+    longest common run by halving the interval between `least` and the last round's length (a run of some length
+    holds one of every lesser), with hashes from running sums, and marks all such runs that don't overlap. A round takes
+    time near proportional to the sequences, and a length occurs in one round only, so there are at most
+    about the square root of twice the item's tokens.
     """
-    free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
+    near = np.zeros(len(doc), bool)
+    hashes = Running(doc).windows(least)
+    for at in np.flatnonzero(np.isin(hashes, Running(item).windows(least))) if len(hashes) else ():
+        near[at : at + least] = True
+    near &= doc >= 0
+    # what is near no common window can't be in a run: runs of the rest are put together with a gap between them
+    place = np.flatnonzero(near)
+    if not len(place):
+        return []
+    gaps = np.flatnonzero(np.diff(place) > 1) + 1
+    place, doc = np.insert(place, gaps, -1), np.insert(doc[place], gaps, -1)
+    free_d, free_i = place >= 0, item >= 0
+    of_d, of_i = Running(doc), Running(item)
     out: list[tuple[int, int, int]] = []
-    size = least
-    found = _matches(doc, item, free_d, free_i, size)
-    while found:
-        longest = max(x[2] for x in found)
-        for d, i, n in sorted((x for x in found if x[2] == longest), key=lambda x: (x[1], x[0])):
-            if free_d[d : d + n].all() and free_i[i : i + n].all():
-                free_d[d : d + n] = False
-                free_i[i : i + n] = False
-                out.append((d, i, n))
-        # runs that the new tiles cut are found again; none can be longer than before
-        found = _matches(doc, item, free_d, free_i, size)
-    return out
-
 
-def _matches(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal common runs of at least `size` unmarked tokens."""
-    hd, hi = rolling(doc, size), rolling(item, size)
-    if not len(hd) or not len(hi):
-        return []
-    open_d = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(free_d, size).all(1))
-    open_i = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(free_i, size).all(1))
-    where: dict[int, list[int]] = {}
-    for i, h in zip(open_i.tolist(), hi[open_i].tolist(), strict=True):
-        where.setdefault(h, []).append(i)
-    open_d = open_d[np.isin(hd[open_d], hi[open_i])]
-    runs: dict[int, list[int]] = {}
-    out = []
-    for d, h in zip(open_d.tolist(), hd[open_d].tolist(), strict=True):
-        for i in where[h]:
-            last = runs.get(d - i)
-            if last is not None and d + size <= last[0] + last[2]:
-                continue
-            if not (doc[d : d + size] == item[i : i + size]).all():
+    def common(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and hashes of the open windows that both sides have."""
+        d, i = _open(free_d, size), _open(free_i, size)
+        hd, hi = of_d.windows(size)[d], of_i.windows(size)[i]
+        here, there = np.isin(hd, hi), np.isin(hi, hd)
+        return d[here], hd[here], i[there], hi[there]
+
+    high = min(len(doc), len(item))
+    while high >= least:
+        low = least - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        if low < least:
+            break
+        d, hd, i, hi = common(low)
+        order = np.argsort(hd, kind="stable")
+        d, hd = d[order], hd[order]
+        # by hash, the next place in the document: a place that is taken never opens again
+        first, last = np.searchsorted(hd, hi, "left"), np.searchsorted(hd, hi, "right")
+        ahead: dict[int, int] = {}
+        for b, f, e in zip(i.tolist(), first.tolist(), last.tolist(), strict=True):
+            if not free_i[b : b + low].all():
                 continue
-            n = size
-            while d + n < len(doc) and i + n < len(item) and free_d[d + n] and free_i[i + n] and doc[d + n] == item[i + n]:
-                n += 1
-            runs[d - i] = run = [d, i, n]
-            out.append(tuple(run))
+            k = ahead.get(f, f)
+            while k < e:
+                a = int(d[k])
+                k += 1
+                if free_d[a : a + low].all() and (doc[a : a + low] == item[b : b + low]).all():
+                    free_d[a : a + low] = False
+                    free_i[b : b + low] = False
+                    out.append((int(place[a]), b, low))
+                    break
+            ahead[f] = k
+        high = low - 1
     return out
 
 
@@ -182,9 +210,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     arrow_spot = pa.list_(pa.struct([(n, pa.int32()) for n in ("in_doc", "in_item", "length")]))
     found = []
     for part in slices(benchmark, item, item_text, slice_bytes):
-        rows = part.collect()
-        kind = pa.array([r[0] for r in rows]).type if rows else pa.null()
-        sent = docs.sparkSession.sparkContext.broadcast(Slice.of([(r[0], r[1]) for r in rows]))
+        # Spark's own Arrow types, so that ids of any kind come back as they were
+        rows = part.toArrow()
+        kind = rows.schema.field("item").type
+        sent = docs.sparkSession.sparkContext.broadcast(Slice.of(list(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True))))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, kind=kind) -> Iterator[pa.RecordBatch]:
             for b in batches:
