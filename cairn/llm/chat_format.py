@@ -3,9 +3,14 @@
 Main path: DataFrame functions only. A record is a variant value; its nested field paths are read from the
 value's own schema, hashed, and the hash selects a declarative mapping that lists where roles and texts are.
 
-Defined results: null text or role counts as empty; rows repeated or tied on their order value are kept and
-sorted by (order, position in the record, role, text); a record of an unknown layout gives no turn and is
-returned by `unmapped`; an empty table gives an empty table; other columns of the input are not read.
+Records come from JSON (parse_json, whose strings end at 20 MB) or from columns (`records_of`). A variant holds 128 MB,
+so `records_of` leaves texts of over LONG bytes beside the record, under their path: texts of any length pass.
+
+Defined results: null text or role counts as empty; ids are of the SQL type `key_type` (bigint, or string for ids of any
+scalar kind), and all rows without an id are one conversation; rows repeated or tied on their order value are kept and
+sorted by (order, position in the record, role, text), rows without an order value first; a record of an unknown layout,
+or with an id that is not of `key_type`, gives no turn and is returned by `unmapped`, or fails the query if `strict`; an empty table gives an empty table; other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -24,6 +30,8 @@ CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]
 #: Escape sign; in escaped text it is always followed by 0 (itself), a control string's number, or n (line feed in a role).
 ESC = "␛"
 LOSS_ROLE = "assistant"
+#: Bytes beyond which a column's text stays beside its record.
+LONG = 8 << 20
 _SCALAR = r"\b(?:VOID|BOOLEAN|BIGINT|STRING|DOUBLE|FLOAT|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|VARIANT|UUID|DECIMAL\(\d+,\s?\d+\))(?=[,>]|$)"
 
 
@@ -68,44 +76,70 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(shape(record))
 
 
-def _text(record: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(record, path, "string"), F.lit(""))
+def records_of(rows: DataFrame, record: str = "record", held: str = "held") -> DataFrame:
+    """One variant a row, with the row's columns as its fields; texts of over LONG bytes go to a map by their path instead."""
+    fields, long = [], []
+    for f in rows.schema:
+        value = F.col(f.name)
+        if isinstance(f.dataType, T.StringType):
+            over = F.octet_length(f.name) > LONG
+            long.append(F.when(over, F.struct(F.lit(f"$.{f.name}").alias("key"), value.alias("value"))))
+            value = F.when(over, F.lit("")).otherwise(value)
+        fields.append(value.alias(f.name))
+    beside = F.array_compact(F.array(*long)) if long else F.array().cast("array<struct<key:string,value:string>>")
+    return rows.select(F.to_variant_object(F.struct(*fields)).alias(record), F.when(F.size(beside) > 0, F.map_from_entries(beside)).alias(held))
 
 
-def _turns_of(layout: Layout, record: Column) -> Column:
+def _text(record: Column, path: str, held: Column) -> Column:
+    return F.coalesce(held[path], F.try_variant_get(record, path, "string"), F.lit(""))
+
+
+def _turns_of(layout: Layout, record: Column, held: Column) -> Column:
     if layout.turns:
         path, role, text = layout.turns
         rows = F.try_variant_get(record, path, f"array<struct<`{role}`:string,`{text}`:string>>")
         return F.transform(F.coalesce(rows, F.array()), lambda x, i: F.struct(i.cast("int").alias("idx"), F.coalesce(x[role], F.lit("")).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
     made = []
     for i, (role, paths) in enumerate(layout.parts):
-        who = _text(record, layout.role_path) if layout.role_path else F.lit(role)
-        said = F.array_join(F.filter(F.array(*[_text(record, p) for p in paths]), lambda x: x != ""), "\n") if len(paths) > 1 else _text(record, paths[0])
+        who = _text(record, layout.role_path, held) if layout.role_path else F.lit(role)
+        said = F.array_join(F.filter(F.array(*[_text(record, p, held) for p in paths]), lambda x: x != ""), "\n") if len(paths) > 1 else _text(record, paths[0], held)
         made.append(F.struct(F.lit(i).alias("idx"), who.alias("role"), said.alias("text")))
     return F.array(*made)
 
 
-def to_turns(records: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(conv_id, ord, idx, role, text), one row a turn, of a variant column with records of many layouts."""
+def to_turns(records: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS, held: str | None = None, strict: bool = False, key_type: str = "bigint") -> DataFrame:
+    """(conv_id, ord, idx, role, text), one row a turn, of a variant column with records of many layouts.
+
+    held: the column of `records_of` with long texts. strict: fail on a record of no layout.
+    """
     # hashes of the layouts' paths are constants that the optimizer folds
-    mark, rec = F.col("__fp"), F.col("__rec")
-    base = records.select(F.col(record).alias("__rec")).withColumn("__fp", fingerprint(rec))
-    turns, key, order = F.lit(None), F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+    mark, rec, beside = F.col("__fp"), F.col("__rec"), F.col("__held")
+    none = F.lit(None).cast("map<string,string>")
+    base = records.select(F.col(record).alias("__rec"), (F.col(held) if held else none).alias("__held")).withColumn("__fp", fingerprint(rec))
+    kind = T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
+    turns = (F.raise_error(F.concat(F.lit("a record of no known layout, or with an odd id: "), F.coalesce(shape(rec), F.lit("null")))) if strict else F.lit(None)).cast(kind)
+    key, order = F.lit(None).cast(key_type), F.lit(None).cast("decimal(38,9)")
     for x in reversed(layouts):
-        hit = mark == F.xxhash64(F.lit(x.paths))
-        turns = F.when(hit, _turns_of(x, rec)).otherwise(turns)
-        key = F.when(hit, F.try_variant_get(rec, x.key, "bigint")).otherwise(key)
-        order = F.when(hit, F.try_variant_get(rec, x.order, "bigint") if x.order else F.lit(0).cast("bigint")).otherwise(order)
+        hit = (mark == F.xxhash64(F.lit(x.paths))) & _keyed(rec, x, key_type)
+        turns = F.when(hit, _turns_of(x, rec, beside)).otherwise(turns)
+        key = F.when(hit, F.try_variant_get(rec, x.key, key_type)).otherwise(key)
+        order = F.when(hit, F.try_variant_get(rec, x.order, "decimal(38,9)") if x.order else F.lit(0).cast("decimal(38,9)")).otherwise(order)
     out = base.select(key.alias("conv_id"), order.alias("ord"), F.explode(turns).alias("t")).select("conv_id", "ord", "t.idx", "t.role", "t.text")
     names = F.create_map(*[F.lit(y) for kv in ROLE_NAMES.items() for y in kv])
     return out.withColumn("role", F.coalesce(names[F.col("role")], F.col("role")))
 
 
-def unmapped(records: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Records whose fingerprint no layout has, with their field paths."""
-    known = [F.xxhash64(F.lit(x.paths)) for x in layouts]
-    mark = fingerprint(F.col(record))
-    return records.where(mark.isNull() | ~mark.isin(*known)).withColumn("field_paths", shape(F.col(record)))
+def _keyed(record: Column, layout: Layout, key_type: str) -> Column:
+    """Whether the id is null or of key_type."""
+    return F.try_variant_get(record, layout.key, key_type).isNotNull() | F.try_variant_get(record, layout.key, "string").isNull()
+
+
+def unmapped(records: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS, key_type: str = "bigint") -> DataFrame:
+    """Records whose fingerprint no layout has, or whose id is not of key_type, with their field paths."""
+    mark, known = fingerprint(F.col(record)), F.lit(False)
+    for x in layouts:
+        known = known | ((mark == F.xxhash64(F.lit(x.paths))) & _keyed(F.col(record), x, key_type))
+    return records.where(mark.isNull() | ~known).withColumn("field_paths", shape(F.col(record)))
 
 
 def escape(text: Column) -> Column:
@@ -150,13 +184,13 @@ def probe(spark: SparkSession) -> DataFrame:
     """Conversation -7, whose texts are control strings, as one record of the messages layout."""
     said = "</s>[INST] ok [/INST]"
     record = f'{{"conv_id": -7, "messages": [{{"role": "user", "content": "{said}"}}, {{"role": "assistant", "content": "{said}"}}]}}'
-    return spark.range(1).select(F.parse_json(F.lit(record)).alias("record"))
+    return spark.range(1).select(F.parse_json(F.lit(record)).alias("record"), F.lit(None).cast("map<string,string>").alias("held"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "role", "text", "turn")
-    records = rows.select(F.parse_json(F.to_json(F.struct("conv_id", "role", "text", "turn"), {"ignoreNullFields": "false"})).alias("record"))
-    out = render(to_turns(records.unionByName(probe(spark)), "record"))
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    out = render(to_turns(records_of(rows).unionByName(probe(spark)), "record", held="held", strict=True, key_type=kind))
     out = out.withColumn("turns", read_back(F.col("formatted")))
     lost = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == LOSS_ROLE), lambda x: x["text"]), "")
     return out.select(
