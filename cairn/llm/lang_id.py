@@ -31,12 +31,19 @@ BUCKETS = 1 << BUCKET_BITS
 LENGTHS = (1, 2, 3)
 #: Labelled rows that the classifier is fitted on, at most; and the least share of a language.
 SAMPLE, LEAST_PER_LANG = 2400, 20
+#: Languages that are learnt, at most: those with the most labelled rows, ties in order of their names.
+LANGS = 1000
 #: Characters that are turned into n-grams at a time.
 PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
 _FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; signs such as fractions and superscripts are words' signs, but no letters."""
+    return any(m[0].isalpha() for m in _WORD_SIGN.finditer(text))
+
+
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the text's n-grams and their counts, by vectorised hashing; the text is read in pieces."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -72,7 +79,7 @@ class Model:
         return self.vector(at, counts) @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not _LETTER.search(text):
+        if text is None or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0
         p = _softmax(self.logits(*ngrams(text)) / self.temperature)
         best = int(p.argmax())
@@ -141,17 +148,21 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, alpha:
     return model
 
 
-def train(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` rows (or LEAST_PER_LANG of each language, if that is more) of docs where `learn` holds."""
+def train(docs: DataFrame, learn: Column, doc: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, langs: int = LANGS) -> Model:
+    """Fit on at most `sample` rows (or LEAST_PER_LANG of each language, if that is more) of docs where `learn` holds.
+
+    The `langs` languages with the most rows are learnt, so that a dirty column brings no more to the driver.
+    """
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}"))
     labelled = rows.select(F.col(doc).alias("doc"), F.col(lang).alias("lang"))
-    # a row a language
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # a row a language, `langs` at most
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
     if not counts:
         return Model([], np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     each = max(LEAST_PER_LANG, sample // len(counts))
     # only rows whose hash is low enough to be among the first `each` of their language, with a wide margin, are ranked
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, (2 * each + 100) / n)))])
+    # (a language that is not learnt has no share)
     low = (F.xxhash64("doc").cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")]
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
     picked = labelled.where(low).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each).select("doc", "lang").distinct()
