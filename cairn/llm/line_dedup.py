@@ -1,13 +1,15 @@
 """Incremental line dedup: exact reference counts of line keys, fronted by sharded cuckoo filters.
 
 The reference-count table (key, docs) is the truth. Keys at or over the threshold go into cuckoo filters, one a
-shard. A filter never misses a key; the keys that it reports wrongly are found by probing the whole table, and
-travel beside it, so that filter and exceptions together decide exactly and texts need no shuffle. Filters and
-exceptions are broadcast only below `bound` bytes; beyond it the decision is a shuffled join with the table.
-Insertions add counts and deletions of documents subtract them, so that any state can be reached again.
+shard. A filter never misses a key; the keys that it reports wrongly are found by probing the whole table (and, where
+the texts are not those that were counted, the texts' own keys), and travel beside it, so that filter and exceptions
+together decide exactly and texts need no shuffle. Filters and exceptions are broadcast only below `bound` bytes; beyond
+it the decision is a shuffled join with the table, with the same result. Insertions add counts and deletions of
+documents subtract them, both in the table and in the filters, so that any state can be reached again.
 
 Defined results: null or empty text is one empty line; empty keys never go; a key counts once a document, rows
-with an equal id being one document; an empty table gives an empty table; other columns pass unchanged.
+with an equal id (or none) being one document; an empty table gives an empty table; other columns pass unchanged. A ledger
+refuses to insert a document that it holds and to delete one, or a text, that it doesn't.
 """
 
 from __future__ import annotations
@@ -207,10 +209,14 @@ def update_filters(filters: DataFrame, shards: int, before: DataFrame, after: Da
     return filters.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
 
 
-def decide(counts: DataFrame, least: int, bound: int = BOUND) -> Decision | None:
-    """The decision as an object of at most `bound` bytes; None if it would be larger."""
-    shards, filters = build_filters(counts, least)
-    filters = keep(filters, "filters")
+def decide(counts: DataFrame, least: int, bound: int = BOUND, made: tuple[int, DataFrame] | None = None, asked: DataFrame | None = None) -> Decision | None:
+    """The decision as an object of at most `bound` bytes; None if it would be larger.
+
+    made: shards and filters of the counts, if there are any. asked: further keys (key) that it will be asked for;
+    keys that are neither in the counts nor in `asked` may be reported wrongly.
+    """
+    shards, filters = made or build_filters(counts, least)
+    filters = filters if made else keep(filters, "filters")
     if (filters.agg(F.sum(F.length("filter"))).first()[0] or 0) > bound:
         return None
     held = Decision(shards, {r.shard: bytes(r["filter"]) for r in filters.collect()}, [])
@@ -221,7 +227,12 @@ def decide(counts: DataFrame, least: int, bound: int = BOUND) -> Decision | None
             if b.num_rows:
                 yield b.filter(pa.array(sent.value.maybe(_digests(b.column(0)))))
 
-    wrong = keep(counts.where(F.col("docs") < least).select("key").mapInArrow(probe, "key binary"), "wrong")
+    if asked is None:
+        wrong = counts.where(F.col("docs") < least).select("key").mapInArrow(probe, "key binary")
+    else:
+        # few keys but those that do go pass the filters; each of them is checked against the table
+        wrong = asked.mapInArrow(probe, "key binary").distinct().join(counts.where(F.col("docs") >= least), "key", "left_anti")
+    wrong = keep(wrong, "wrong")
     # a Python set entry takes some 100 bytes
     if wrong.count() * 100 > bound:
         return None
@@ -255,17 +266,18 @@ def _drop_lines(docs: DataFrame, text: str, goes, extra: str | None = None) -> D
     return docs.mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST_DOCS, counts: DataFrame | None = None, bound: int = BOUND) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST_DOCS, counts: DataFrame | None = None, bound: int = BOUND, made: tuple[int, DataFrame] | None = None) -> DataFrame:
     """docs without the lines whose key is in at least `least` documents; n_lines and n_dropped are added.
 
-    counts: an existing reference-count table; if None, that of docs. Columns n_lines and n_dropped of the
-    input, if any, are replaced.
+    counts: an existing reference-count table, and `made` its shards and filters; if None, those of docs. Columns n_lines
+    and n_dropped of the input, if any, are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
+    asked = None if counts is None else line_keys(docs, doc, text).select("key")
     counts = keep(reference_counts(docs, doc, text), "linecounts") if counts is None else counts
-    made = decide(counts, least, bound)
-    if made is not None:
-        sent = docs.sparkSession.sparkContext.broadcast(made)
+    ready = decide(counts, least, bound, made, asked)
+    if ready is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(ready)
         return _drop_lines(docs, text, lambda keys, _: sent.value.goes(keys))
     hot = counts.where(F.col("docs") >= least).select("key")
     per = line_keys(docs, doc, text).join(hot, "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
@@ -280,13 +292,23 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
 
 
 class LineLedger:
-    """Reference counts and filters of a growing and shrinking set of documents, in a shared folder."""
+    """Reference counts and filters of a growing and shrinking set of documents, in a shared folder.
+
+    `docs` holds each document's id (as text; null is an id) and a digest of its rows' texts.
+    """
 
     def __init__(self, spark: SparkSession, least: int = LEAST_DOCS):
         self.spark, self.least = spark, least
         self.counts = spark.createDataFrame([], "key binary, docs bigint")
+        self.docs = spark.createDataFrame([], "id string, texts bigint")
         self.shards, self.filters = 1, spark.createDataFrame([], "shard int, filter binary")
 
+    @staticmethod
+    def _documents(docs: DataFrame, doc: str, text: str) -> DataFrame:
+        """(id, texts): the order of a document's rows doesn't matter."""
+        rows = docs.select(F.col(doc).cast("string").alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"))
+        return rows.groupBy("id").agg(F.xxhash64(F.sum(F.col("h").cast("decimal(38,0)")), F.count("*")).alias("texts"))
+
     def _apply(self, docs: DataFrame, doc: str, text: str, sign: int) -> LineLedger:
         delta = reference_counts(docs, doc, text).select("key", (F.col("docs") * sign).alias("docs"))
         after = self.counts.unionByName(delta).groupBy("key").agg(F.sum("docs").alias("docs")).where("docs <> 0")
@@ -300,15 +322,27 @@ class LineLedger:
         return self
 
     def insert(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> LineLedger:
-        """Add documents that the ledger does not hold."""
-        return self._apply(docs, doc, text, 1)
+        """Add documents; ValueError, and nothing is changed, if the ledger holds one of them."""
+        own = keep(self._documents(docs, doc, text), "lineids")
+        if not own.alias("a").join(self.docs.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")), "left_semi").isEmpty():
+            raise ValueError("the ledger holds some of these documents")
+        out = self._apply(docs, doc, text, 1)
+        out.docs = keep(self.docs.unionByName(own), "lineids")
+        return out
 
     def delete(self, docs: DataFrame, doc: str = "doc_id", text: str = "text") -> LineLedger:
-        """Take back documents as they were inserted."""
-        return self._apply(docs, doc, text, -1)
+        """Take back whole documents as they were inserted; ValueError, and nothing is changed, if one of them was not."""
+        own = keep(self._documents(docs, doc, text), "lineids")
+        same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.texts") == F.col("b.texts"))
+        if not own.alias("a").join(self.docs.alias("b"), same, "left_anti").isEmpty():
+            raise ValueError("the ledger does not hold some of these documents, or not with these texts")
+        out = self._apply(docs, doc, text, -1)
+        out.docs = keep(self.docs.alias("a").join(own.alias("b"), same, "left_anti"), "lineids")
+        return out
 
     def clean(self, docs: DataFrame, doc: str = "doc_id", text: str = "text", bound: int = BOUND) -> DataFrame:
-        return dedup_lines(docs, doc, text, self.least, self.counts, bound)
+        """Any texts, counted or not, without the lines that the ledger's documents share; decided by the ledger's own filters."""
+        return dedup_lines(docs, doc, text, self.least, self.counts, bound, (self.shards, self.filters))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
