@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of (source, language, topic). The cells' token weights are raked until their margins
-meet the targets of every dimension; a document of a cell is then sampled with the probability that the raked
-weight asks for, calibrated so that the expected tokens are the wanted fraction of all and no probability
+meet the targets of every dimension to within TOLERANCE (or MOST_SWEEPS sweeps are done: contradictory targets have
+no solution); a document of a cell is then sampled with the probability that the raked weight asks for, calibrated so that the expected tokens are the wanted fraction of all and no probability
 exceeds one (cells that would are kept whole, and the rest is scaled up for them).
 
 Raking needs the cells only. Up to CELLS_ON_DRIVER cells (counted first) it runs on the driver, beyond that as
@@ -20,12 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import fresh, keep, table
 
 DIMS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 FRACTION = 0.5
-SWEEPS = 12
+#: Greatest difference of a margin from its target at which raking ends, and the most sweeps.
+TOLERANCE, MOST_SWEEPS = 1e-13, 200
 SEED = "mix-1"
 CELLS_ON_DRIVER = 200_000
 #: Topic by the first rule that holds; SQL over text and n_tokens that Spark and DuckDB both read.
@@ -66,15 +67,21 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.select("value", (F.col("p") / F.lit(whole)).alias("share"))
 
 
-def rake_on_driver(keys: list[np.ndarray], n: np.ndarray, targets: list[np.ndarray], sweeps: int) -> np.ndarray:
+def rake_on_driver(keys: list[np.ndarray], n: np.ndarray, targets: list[np.ndarray], sweeps: int = MOST_SWEEPS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights that sum to 1. keys: by dimension, each cell's value number; targets: by dimension, shares by number."""
     w = n / n.sum()
     for _ in range(sweeps):
+        off = 0.0
         for k, t in zip(keys, targets, strict=True):
             sums = np.bincount(k, weights=w, minlength=len(t))
             # values that have a target but no cell can't be reached: the others share it
             reachable = np.where(sums > 0, t, 0)
-            w = w * (np.divide(reachable / reachable.sum(), sums, out=np.zeros_like(sums), where=sums > 0))[k]
+            goal = reachable / (reachable.sum() or 1.0)
+            off = max(off, float(np.abs(goal - sums).max()))
+            w = w * (np.divide(goal, sums, out=np.zeros_like(sums), where=sums > 0))[k]
+        # measured as each dimension's turn came: all of them held before this sweep
+        if off <= tolerance:
+            break
     return w
 
 
@@ -91,7 +98,7 @@ def calibrate(n: np.ndarray, w: np.ndarray, fraction: float) -> np.ndarray:
     return np.where(w > 0, 1.0, 0.0)
 
 
-def probabilities(cells: DataFrame, targets: dict[str, DataFrame], fraction: float = FRACTION, sweeps: int = SWEEPS, bound: int = CELLS_ON_DRIVER) -> tuple[DataFrame, bool]:
+def probabilities(cells: DataFrame, targets: dict[str, DataFrame], fraction: float = FRACTION, sweeps: int = MOST_SWEEPS, bound: int = CELLS_ON_DRIVER) -> tuple[DataFrame, bool]:
     """(source, lang, topic, n, weight, prob) by cell, and whether the table is within the bound."""
     cells = keep(cells, "cells")
     small = cells.count() <= bound
@@ -112,13 +119,21 @@ def probabilities(cells: DataFrame, targets: dict[str, DataFrame], fraction: flo
         out = [(*x, float(a), float(b)) for *x, a, b in zip(*[rows[d] for d in DIMS], rows["n"].astype(int).tolist(), w, p, strict=True)]
         return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, n bigint, weight double, prob double"), True
     now = cells.withColumn("weight", F.col("n").cast("double"))
+    whole = cells.agg(F.sum("n")).first()[0] or 1
+    now = now.withColumn("weight", F.col("weight") / F.lit(float(whole)))
     for _ in range(sweeps):
+        off = 0.0
         for d in DIMS:
-            sums = now.groupBy(d).agg(F.sum("weight").alias("sum")).join(targets[d].withColumnRenamed("value", d), d)
+            sums = now.groupBy(d).agg(F.sum("weight").alias("sum")).join(targets[d].withColumnRenamed("value", d), d, "left").withColumn("share", F.when(F.col("sum") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0))
+            sums = keep(sums, "margins")
             reachable = sums.agg(F.sum("share")).first()[0] or 1.0
-            sums = sums.select(d, (F.col("share") / F.lit(reachable) / F.col("sum")).alias("by"))
+            goal = F.col("share") / F.lit(reachable)
+            off = max(off, sums.agg(F.max(F.abs(goal - F.col("sum")))).first()[0] or 0.0)
+            sums = sums.select(d, F.when(F.col("sum") > 0, goal / F.col("sum")).otherwise(0.0).alias("by"))
             now = now.join(sums, d, "left").withColumn("weight", F.col("weight") * F.coalesce("by", F.lit(0.0))).drop("by")
         now = keep(now, "raked")
+        if off <= TOLERANCE:
+            break
     total_n, total_w = now.agg(F.sum("n"), F.sum("weight")).first()
     budget, scale = fraction * total_n, None
     ratio = F.col("weight") / F.col("n")
@@ -140,7 +155,7 @@ def draw(doc: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, doc: str = "doc_id", targets: dict[str, dict[str | None, float]] | None = None, fraction: float = FRACTION, sweeps: int = SWEEPS, bound: int = CELLS_ON_DRIVER, celled: bool = False) -> DataFrame:
+def mix(docs: DataFrame, doc: str = "doc_id", targets: dict[str, dict[str | None, float]] | None = None, fraction: float = FRACTION, sweeps: int = MOST_SWEEPS, bound: int = CELLS_ON_DRIVER, celled: bool = False) -> DataFrame:
     """docs with n_tokens, topic, weight (the cell's share of the target tokens), prob and kept.
 
     targets: by dimension, value to weight; dimensions without one take tempered shares. celled: docs already has
@@ -157,9 +172,10 @@ def mix(docs: DataFrame, doc: str = "doc_id", targets: dict[str, dict[str | None
         else:
             goals[d] = spark.createDataFrame([("null" if k is None else f"={k}", float(v)) for k, v in own.items()], "value string, share double")
     table_, small = probabilities(cells, goals, fraction, sweeps, bound)
-    named = table_.select(*[F.col(d).alias(f"of_{d}_") for d in DIMS], "weight", "prob")
+    of = {d: fresh(docs, f"of_{d}") for d in DIMS}
+    named = table_.select(*[F.col(d).alias(of[d]) for d in DIMS], "weight", "prob")
     # at most CELLS_ON_DRIVER rows are broadcast; a larger table is joined by its keys
-    out = docs.join(F.broadcast(named) if small else named, [_key(d) == F.col(f"of_{d}_") for d in DIMS], "left").drop(*[f"of_{d}_" for d in DIMS])
+    out = docs.join(F.broadcast(named) if small else named, [_key(d) == F.col(of[d]) for d in DIMS], "left").drop(*of.values())
     out = out.withColumn("prob", F.when(F.col("n_tokens") > 0, F.coalesce("prob", F.lit(0.0))).otherwise(0.0)).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return out.withColumn("kept", draw(doc) < F.col("prob"))
 
@@ -171,6 +187,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("prob", 6).alias("prob"), "kept")
 
 
+#: SQL has no loop here that ends by itself; margins settle long before.
+ORACLE_SWEEPS = 24
+
+
 def _oracle(select: str, documents: str = "documents") -> str:
     """Raking with one CTE a step, then calibration by running sums over the cells in order of weight by token."""
     ctes = [
@@ -181,7 +201,7 @@ def _oracle(select: str, documents: str = "documents") -> str:
     ctes += [f"t_{x} AS MATERIALIZED (SELECT {x}, p / sum(p) OVER () AS share FROM (SELECT {x}, pow(sum(n), {TEMPER[x]}) AS p FROM c GROUP BY {x}))" for x in DIMS]
     ctes.append("w0 AS MATERIALIZED (SELECT *, n / sum(n) OVER () AS w FROM c)")
     last = "w0"
-    for k in range(SWEEPS):
+    for k in range(ORACLE_SWEEPS):
         for x in DIMS:
             ctes.append(f"w{k}_{x} AS MATERIALIZED (SELECT a.* REPLACE (a.w * t.share / sum(a.w) OVER (PARTITION BY a.{x}) AS w) FROM {last} a JOIN t_{x} t ON a.{x} = t.{x})")
             last = f"w{k}_{x}"
