@@ -16,7 +16,7 @@ import xxhash
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from cairn.llm import audio, chat_format, decontaminate, html_text, lang_id, line_dedup, mixing, ppm, registry, secret_scan, simhash
+from cairn.llm import audio, chat_format, decontaminate, html_text, lang_id, line_dedup, mixing, near_dup, ppm, registry, secret_scan, simhash
 
 
 @pytest.fixture(scope="module")
@@ -149,7 +149,7 @@ def test_near_duplicates(spark):
         far = [w if rng.random() < 0.7 else rng.choice(words) for w in own]
         rows += [(10 * k, " ".join(own)), (10 * k + 1, "\n".join(own).upper()), (10 * k + 2, " ".join(near)), (10 * k + 3, " ".join(far)), (10 * k + 4, rng.choice(words) + rng.choice(words) + str(k))]
         want |= {10 * k: 10 * k, 10 * k + 1: 10 * k, 10 * k + 2: 10 * k, 10 * k + 3: 10 * k + 3, 10 * k + 4: 10 * k + 4}
-    got = {r.doc: r.group for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc: r.group for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got.keys() == want.keys()
     assert all(got[d] == want[d] for d in want if d % 10 != 2)
     assert sum(got[d] == want[d] for d in want if d % 10 == 2) >= 36
@@ -177,7 +177,7 @@ def test_insertions_and_small_vocabularies_are_near_duplicates(spark):
         if jaccard(own, near) >= 0.85:
             pairs.append(k)
         rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(near))]
-    got = {r.doc: r.group for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc: r.group for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(pairs) > 75
     assert sum(got[2 * k + 1] == got[2 * k] for k in pairs) >= len(pairs) - 1
     assert len({got[2 * k] for k in pairs}) == len(pairs)
@@ -189,8 +189,8 @@ def test_sketches_measure_similarity():
         found = []
         for _ in range(30):
             h = rng.integers(0, 1 << 63, shared + 2 * own).astype(np.uint64) * np.uint64(2)
-            a, b = (np.array(simhash.sketch(x), np.int64).view(np.uint64) for x in (h[: shared + own], np.concatenate([h[:shared], h[shared + own :]])))
-            found.append(1 - 2 * int(np.bitwise_count(a ^ b).sum()) / simhash.SKETCH)
+            a, b = (np.array(near_dup.sketch(x), np.int64).view(np.uint64) for x in (h[: shared + own], np.concatenate([h[:shared], h[shared + own :]])))
+            found.append(1 - 2 * int(np.bitwise_count(a ^ b).sum()) / near_dup.SKETCH)
         assert abs(np.mean(found) - shared / (shared + 2 * own)) < 0.08
 
 
