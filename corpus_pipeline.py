@@ -17,7 +17,7 @@ from cairn.llm.decontaminate import remove_leaks
 from cairn.llm.lang_id import UNKNOWN, fold, identify, train
 from cairn.llm.line_dedup import dedup_lines
 from cairn.llm.mixing import mix
-from cairn.llm.simhash import near_duplicates
+from cairn.llm.near_dup import keep_one
 
 #: Least calibrated probability of the predicted language.
 LEAST_SCORE = 0.5
@@ -40,13 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near-duplicates; documents without an id are not compared and stay."""
-    docs = docs.select(*COLUMNS)
-    groups = near_duplicates(docs, width=SHINGLE, similarity=SIMILARITY)
-    first = groups.where(F.col("doc") == F.col("group")).select(F.col("doc").alias("first_")).distinct()
-    # ids only on the build side; rows that repeat the kept id are one document
-    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("first_"), "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates, that with the smallest id; rows without an id are compared like any other."""
+    return keep_one(docs.select(*COLUMNS), width=SHINGLE, similarity=SIMILARITY)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
