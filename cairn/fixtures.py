@@ -5,9 +5,11 @@ One SQL text makes each table in both Spark and DuckDB, so queries and their ora
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.order import running_sum
+
 EPOCH = 1704067200
 DAY = 86400
 _SPARK = {"octets": "octet_length", "sha": "sha2(t, 256)", "list": "array_sort(collect_list(id))", "array": "array"}
@@ -17,7 +19,7 @@ _FILES = """
 SELECT increment, 'set-' || CAST({epoch} + increment * {day} AS STRING) AS manifest_id, 'f' || CAST(increment AS STRING) || '-' || CAST(doc_id AS STRING) AS id,
   CASE WHEN doc_id % 5 = 0 THEN 'k' || CAST(doc_id - doc_id % 20 AS STRING) END AS file_system_key,
   CASE WHEN increment >= 1 AND doc_id % 17 = 0 THEN '/moved' ELSE '' END || '/' || source || '/' || lang || '/' || CAST(doc_id AS STRING) || '.txt' AS path,
-  {sha} AS original_hash, CAST({octets}(t) AS BIGINT) AS original_size,
+  {sha} AS original_hash, CASE WHEN doc_id % 34 = 0 THEN NULL ELSE CAST({octets}(t) AS BIGINT) END AS original_size,
   {epoch} + doc_id * 60 + CASE WHEN increment >= 1 AND doc_id % 19 = 0 THEN 5 ELSE 0 END AS last_modified_utc_epoch_seconds,
   {epoch} + doc_id * 61 AS last_accessed_utc_epoch_seconds, {epoch} + doc_id AS created_utc_epoch_seconds,
   CASE WHEN increment >= 1 AND doc_id % 11 = 0 THEN 'rwx------' WHEN doc_id % 4 = 0 THEN 'rw-r--r--' WHEN doc_id % 4 = 1 THEN 'rwxr-xr-x' WHEN doc_id % 4 = 2 THEN 'r--------' ELSE 'rw-rw-r--' END AS permissions,
@@ -73,14 +75,34 @@ def manifests(spark: SparkSession) -> DataFrame:
     return spark.sql(manifests_sql("spark"))
 
 
+#: A long history, a row an order: chains of increments with their versions; window functions in DuckDB, two levels in Spark.
+_HEADS = """
+SELECT 'set-' || CAST(1000 + 10 * o_orderkey AS STRING) AS manifest_id, '0.' || CAST(o_custkey % 12 AS STRING) || '.' || CAST(o_orderkey % 30 AS STRING) AS app_version,
+  CAST(1000 + 10 * o_orderkey AS BIGINT) AS start_time_utc_epoch_seconds, CASE WHEN o_orderkey % 40 = 1 THEN 'FULL' ELSE 'INCREMENTAL' END AS backup_type,
+  CASE o_custkey % 4 WHEN 0 THEN 'LINUX' WHEN 1 THEN 'MAC' WHEN 2 THEN 'WINDOWS' END AS operating_system
+FROM (SELECT o_orderkey, min(o_custkey) AS o_custkey FROM {orders} GROUP BY o_orderkey) o
+"""
+
+
+def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = spark.sql(_HEADS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    start = "start_time_utc_epoch_seconds"
+    full = heads.withColumn("__full", (F.col("backup_type") == "FULL").cast("bigint"))
+    chained = running_sum(full, [], start, "__full", "__earlier").withColumn("__chain", F.col("__earlier") + F.col("__full"))
+    version = F.row_number().over(Window.partitionBy("__chain").orderBy(start)) - 1
+    return chained.withColumn("backup_versions", F.array(version.cast("int"))).drop("__full", "__earlier", "__chain")
+
+
 def duck(body: str) -> str:
     """body with the tables files, archives and manifests before it, in DuckDB's SQL."""
     made = {
         "files": _FILES.format(epoch=EPOCH, day=DAY, documents="documents", **_DUCK).replace("`group`", '"group"').replace("AS STRING", "AS VARCHAR"),
         "archives": _ARCHIVES.format(files="files", **_DUCK),
-        "manifests": manifests_sql("duck"),
+        "heads": _HEADS.format(orders="orders").replace("AS STRING", "AS VARCHAR"),
+        "chained": "SELECT *, sum(CASE WHEN backup_type = 'FULL' THEN 1 ELSE 0 END) OVER (ORDER BY start_time_utc_epoch_seconds) AS chain_ FROM heads",
+        "manifests": "SELECT * EXCLUDE (chain_), list_value(CAST(row_number() OVER (PARTITION BY chain_ ORDER BY start_time_utc_epoch_seconds) - 1 AS INT)) AS backup_versions FROM chained",
     }
-    need = [n for n in made if n in body or (n == "files" and "archives" in body)]
+    need = [n for n in made if n in body or (n == "files" and "archives" in body) or (n in ("heads", "chained") and "manifests" in body)]
     head = ", ".join(f"{n} AS ({made[n]})" for n in need)
     body = body.strip()
     if body.upper().startswith("WITH "):

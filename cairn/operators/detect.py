@@ -98,9 +98,10 @@ def previous_versions(current: DataFrame, history: DataFrame, by: Detector, orde
     group = [F.col(c) for c in by.same] + ([] if by.hashing else [name.alias("__name")])
     lowest = old.where(F.col("file_type").isin("REGULAR_FILE", "SYMBOLIC_LINK")).groupBy(order, *group).agg(F.min_by(F.struct(*old.columns), F.struct("path", "id")).alias("r")).select("r.*")
     content = cur.where(is_content(F.col("cur_file_type")) & F.col(f"cur_{by.key}").isNotNull())
-    keys = [F.col(f"cur_{c}") == F.col(f"prev_{c}") for c in dict.fromkeys([by.key, *by.same])]
+    # a null primary key has no candidate; all else is null-safe
+    keys = [F.col(f"cur_{by.key}") == F.col(f"prev_{by.key}"), *[F.col(f"cur_{c}").eqNullSafe(F.col(f"prev_{c}")) for c in by.same if c != by.key]]
     if not by.hashing:
-        keys.append(F.substring_index("cur_path", "/", -1) == F.substring_index("prev_path", "/", -1))
+        keys.append(F.substring_index("cur_path", "/", -1).eqNullSafe(F.substring_index("prev_path", "/", -1)))
     moved = content.join(prefixed(lowest, "prev_"), keys).where(unchanged).withColumn("__stage", F.lit(2))
     exact = content.join(prefixed(old, "prev_"), [*keys, F.col("cur_path") == F.col("prev_path")]).where(unchanged).withColumn("__stage", F.lit(2))
     every = stage1.unionByName(moved).unionByName(exact)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.content import derived_id
 from ..schemas import CONTENT_TYPES, change_dim, file_type_dim
 
 # --- filters -----------------------------------------------------------------------------------------------------
@@ -110,6 +111,55 @@ def archived_ids(archives: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(archives.select(F.explode("files").alias("id")), "id", "left_semi")
 
 
+def by_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """Rows of the given paths; a path that no row has gives none."""
+    return files.join(paths.select("path"), "path", "left_semi")
+
+
+def by_ids(files: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the given ids."""
+    return files.join(ids.select("id"), "id", "left_semi")
+
+
+def contains(files: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """(column, known): whether each asked path or id is there."""
+    own = files.select(F.col(column).alias("__has")).distinct()
+    return asked.select(column).join(own, F.col(column).eqNullSafe(F.col("__has")), "left").select(column, F.col("__has").isNotNull().alias("known"))
+
+
+def holders(files: DataFrame, column: str, asked: DataFrame) -> DataFrame:
+    """Asked rows (id, column) with the number of paths that have an equal hash or size, and the first of them.
+
+    The paths are counted by value before the join, so that a value which very many have meets one row.
+    """
+    found = files.where(F.col(column).isNotNull()).select(column, "path").distinct().groupBy(column).agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    return asked.select("id", column).join(found, column, "left").select("id", column, F.coalesce("n", F.lit(0)).alias("n"), "first_path")
+
+
+def relink(files: DataFrame, links: DataFrame) -> DataFrame:
+    """Files with the archive id that links (id, archive_metadata_id) give them, or their own."""
+    new = links.select(F.col("id").alias("__of"), F.col("archive_metadata_id").alias("__entry"))
+    return files.join(new, F.col("id") == F.col("__of"), "left").withColumn("archive_metadata_id", F.coalesce("__entry", "archive_metadata_id")).drop("__of", "__entry")
+
+
+def copy_details(archives: DataFrame, purpose: str = "copy") -> DataFrame:
+    """C20: entries under a new id, which the old one decides, and without files."""
+    return archives.withColumn("id", derived_id(F.lit(purpose), F.col("id"))).withColumn("files", F.array().cast("array<string>"))
+
+
+def put(table: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """H6: the table as a map by key: rows replace those of equal keys; among themselves the last by `order` wins."""
+    if order is not None:
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in table.columns if c != key]), order).alias("__r")).select(key, "__r.*")
+    rows = rows.select(*table.columns)
+    return table.join(rows.select(key), key, "left_anti").select(*table.columns).unionByName(rows)
+
+
+def remove(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """H6: the table without the given keys."""
+    return table.join(keys.select(key), key, "left_anti")
+
+
 def status_or_default(files: DataFrame, changes: DataFrame, default: str = "NO_CHANGE") -> DataFrame:
     """Files with the change of their path, or the default."""
     return files.join(changes.select("path", "change"), "path", "left").withColumn("change", F.coalesce("change", F.lit(default)))
@@ -174,6 +224,16 @@ def resolve_links(links: DataFrame, paths: DataFrame, targets: DataFrame) -> Dat
 # --- aggregates ------------------------------------------------------------------------------------------------------
 
 
+def count_all(files: DataFrame) -> DataFrame:
+    """(n, n_content): all rows, and those whose type carries content; none is zero."""
+    return files.agg(F.count("*").alias("n"), F.count_if(F.col("file_type").isin(*CONTENT_TYPES)).alias("n_content"))
+
+
+def distinct_manifests(rows: DataFrame) -> DataFrame:
+    """E18."""
+    return rows.select("manifest_id").distinct()
+
+
 def counts_by_type(files: DataFrame) -> DataFrame:
     """E3, with the type's ordinal for its order."""
     return files.groupBy("file_type").agg(F.count("*").alias("n")).join(F.broadcast(file_type_dim(files.sparkSession).select("file_type", "ordinal")), "file_type")

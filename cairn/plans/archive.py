@@ -52,10 +52,17 @@ def index_lines(rows: DataFrame) -> DataFrame:
     return rows.select("prefix", "ord", F.posexplode(F.array(*lines)).alias("n", "line")).where(F.col("line").isNotNull())
 
 
+#: An entity's line: its number in eight digits or more, a property, and the value.
+_ENTITY_LINE = r"^[0-9]{8,}\.[a-z]"
+
+
 def parse_index(lines: DataFrame) -> DataFrame:
     """Lines (prefix, line) to index rows; lines that are no entity's are left to `footer`."""
-    pattern = r"^(\d{8,})\.([a-z_.]+):(.*)$"
-    kv = lines.where(F.col("line").rlike(pattern)).select("prefix", F.regexp_extract("line", pattern, 1).cast("bigint").alias("ord"), F.regexp_extract("line", pattern, 2).alias("k"), F.nullif(F.regexp_extract("line", pattern, 3), F.lit("null")).alias("v"))
+    line = F.col("line")
+    number = F.substring_index(line, ".", 1)
+    key = F.substring_index(F.substr(line, F.length(number) + 2), ":", 1)
+    value = F.nullif(F.substr(line, F.length(number) + F.length(key) + 3), F.lit("null"))
+    kv = lines.where(line.rlike(_ENTITY_LINE)).select("prefix", number.cast("bigint").alias("ord"), key.alias("k"), value.alias("v"))
     maps = kv.groupBy("prefix", "ord").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
 
     def boundary(part: str) -> F.Column:
@@ -65,9 +72,16 @@ def parse_index(lines: DataFrame) -> DataFrame:
     return maps.select("prefix", "ord", F.col("m")["path"].alias("path"), F.col("m")["type"].alias("type"), F.col("m")["encrypt"].cast("boolean").alias("encrypted"), boundary("content"), boundary("metadata"))
 
 
+def entry_at(lines: DataFrame, path: str) -> DataFrame:
+    """The index rows of one path, from the lines alone: its numbers are found first, then only their lines are parsed."""
+    mine = lines.where(F.col("line").rlike(_ENTITY_LINE) & F.col("line").endswith(F.lit(f".{ENTITY_KEYS['path']}:{path}")))
+    own = mine.select("prefix", F.substring_index("line", ".", 1).alias("number")).distinct()
+    return parse_index(lines.withColumn("number", F.substring_index("line", ".", 1)).join(own, ["prefix", "number"], "left_semi").drop("number")).where(F.col("path") == path)
+
+
 def footer(lines: DataFrame) -> DataFrame:
     """One row a prefix; old index files have misspelt keys and no version."""
-    kv = lines.where(~F.col("line").rlike(r"^\d{8,}\.")).select("prefix", F.regexp_extract("line", r"^([a-z_.]+):(.*)$", 1).alias("k"), F.regexp_extract("line", r"^([a-z_.]+):(.*)$", 2).alias("v"))
+    kv = lines.where(~F.col("line").rlike(_ENTITY_LINE)).select("prefix", F.regexp_extract("line", r"^([a-z_.]+):(.*)$", 1).alias("k"), F.regexp_extract("line", r"^([a-z_.]+):(.*)$", 2).alias("v"))
     m = kv.groupBy("prefix").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     either = lambda *keys: F.coalesce(*[F.col("m")[k] for k in keys])
     return m.select(
@@ -116,8 +130,7 @@ def byte_range(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def range_scan(index: DataFrame, wanted: DataFrame) -> DataFrame:
     """All entries within the byte range that the wanted ones span, in the archives that have any."""
-    # one row an archive
-    span = F.broadcast(byte_range(index, wanted).select("prefix", "low", "high"))
+    span = byte_range(index, wanted).select("prefix", "low", "high")
     return index.join(span, "prefix").where("abs_start >= low AND abs_end <= high").drop("low", "high")
 
 
@@ -138,25 +151,66 @@ def merged_offsets(index: DataFrame) -> DataFrame:
     return rows.withColumn("new_start", (F.col("base") + F.col("within")).cast("bigint")).drop("base", "within")
 
 
-def content_of(index: DataFrame, chunks: DataFrame, key: bytes | None = None, compression: str = "NONE") -> DataFrame:
-    """Index rows with their decoded content; chunks (prefix, number, data).
+#: Bytes of a row that holds a part of a chunk; a chunk of any size is rows of this many.
+PART = 32 << 20
+
+
+def _touched(start, end, max_chunk: int, part: int) -> F.Column:
+    """array<struct<number, part, low, high>>: the parts of chunks that the bytes [start, end) touch, and the parts' own bytes."""
+    each = -(-max_chunk // part)
+    first = (F.floor(start / max_chunk), F.floor(F.pmod(start, F.lit(max_chunk)) / part))
+    last = (F.floor((end - 1) / max_chunk), F.floor(F.pmod(end - 1, F.lit(max_chunk)) / part))
+    # parts are numbered through, `each` of them a chunk
+    span = F.sequence(first[0] * each + first[1], last[0] * each + last[1])
+
+    def one(k):
+        chunk, own = F.floor(k / each), F.pmod(k, F.lit(each))
+        low = chunk * max_chunk + own * part
+        return F.struct((chunk + 1).cast("int").alias("number"), own.cast("int").alias("part"), low.alias("low"), F.least(low + part, (chunk + 1) * max_chunk).alias("high"))
+
+    return F.when(end > start, F.transform(span, one))
+
 
-    An entry is cut from the chunks that it touches, joined on (prefix, number), so no archive is put together whole.
+def _cut(data, begin, end) -> F.Column:
+    """Bytes [begin, end) of a value; both are within its two GiB."""
+    return F.substring(data, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+
+def content_of(index: DataFrame, chunks: DataFrame, key: bytes | None = None, compression: str = "NONE", max_chunk: int | None = None, part: int = PART) -> DataFrame:
+    """Index rows with their decoded content; chunks (prefix, number[, part], data).
+
+    An entry is cut from the parts of chunks that it touches, joined on their numbers, so neither an archive nor a
+    chunk is put together whole. Chunks without `part` are one row each. max_chunk: needed where chunks have parts.
     """
-    each = index.withColumn("number", F.explode(F.sequence("start_chunk", "end_chunk")))
-    rows = each.join(chunks, ["prefix", "number"])
-    first, last = F.col("number") == F.col("start_chunk"), F.col("number") == F.col("end_chunk")
-    begin = F.when(first, F.col("rel_start")).otherwise(0)
-    end = F.when(last, F.col("rel_end")).otherwise(F.octet_length("data"))
-    cut = F.substring(F.col("data"), (begin + 1).cast("int"), (end - begin).cast("int"))
-    keys = [c for c in index.columns]
-    whole = rows.withColumn("part", F.struct("number", cut.alias("data"))).groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    keys = list(index.columns)
+    if "part" in chunks.columns:
+        if max_chunk is None:
+            raise ValueError("the size of a chunk is needed where chunks have parts")
+        each = index.withColumn("t", F.explode_outer(_touched(F.col("abs_start"), F.col("abs_end"), max_chunk, part))).select(*keys, F.col("t.number").alias("number"), F.col("t.part").alias("part"), F.greatest("abs_start", "t.low").alias("__from"), F.least("abs_end", "t.high").alias("__to"), F.col("t.low").alias("__low"))
+        rows = each.join(chunks.select("prefix", "number", "part", "data"), ["prefix", "number", "part"], "left")
+        # a part that is not there leaves its bytes out, which the hashes then tell
+        cut = _cut(F.col("data"), F.col("__from") - F.col("__low"), F.col("__to") - F.col("__low"))
+        piece = F.when(F.col("data").isNotNull(), F.struct("number", "part", cut.alias("data")))
+    else:
+        each = index.withColumn("number", F.explode(F.sequence("start_chunk", "end_chunk")))
+        rows = each.join(chunks.select("prefix", "number", "data"), ["prefix", "number"])
+        first, last = F.col("number") == F.col("start_chunk"), F.col("number") == F.col("end_chunk")
+        cut = _cut(F.col("data"), F.when(first, F.col("rel_start")).otherwise(0), F.when(last, F.col("rel_end")).otherwise(F.octet_length("data")))
+        piece = F.struct("number", F.lit(0).alias("part"), cut.alias("data"))
+    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("parts"))
     raw = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["data"]))
     out = whole.withColumn("raw", raw).drop("parts")
     plain = decrypt(F.col("raw"), F.lit(key)) if key else F.col("raw")
     return out.withColumn("content", decompress(plain, compression))
 
 
+def checked(decoded: DataFrame, algorithm: str = "SHA256") -> DataFrame:
+    """Decoded rows; reading one whose bytes, size or content are not those of the index fails the query."""
+    good = digest(F.col("raw"), algorithm).eqNullSafe(F.col("arch_hash")) & digest(F.col("content"), algorithm).eqNullSafe(F.col("orig_hash")) & (F.octet_length("raw") == F.col("arch_size"))
+    said = F.raise_error(F.concat(F.lit("the stored bytes do not match the index: "), F.col("path"))).cast("binary")
+    return decoded.withColumn("content", F.when(F.coalesce(good, F.lit(False)), F.col("content")).otherwise(said))
+
+
 def pack(entries: DataFrame, prefix: str, key: bytes | None = None, compression: str = "NONE", algorithm: str = "SHA256") -> DataFrame:
     """Entries (ord, path, content) as archived rows: digest, compress, encrypt, digest again.
 
@@ -172,15 +226,21 @@ def placed(packed: DataFrame, max_chunk: int) -> DataFrame:
     return offsets(packed, "", max_chunk)
 
 
-def chunks(rows: DataFrame, max_chunk: int) -> DataFrame:
-    """Placed rows to (prefix, number, name, data): the bytes of each chunk, at most max_chunk of them."""
-    each = rows.withColumn("number", F.explode(F.sequence("start_chunk", "end_chunk")))
-    low = (F.col("number") - 1).cast("bigint") * max_chunk
-    begin, end = F.greatest(F.col("abs_start"), low) - F.col("abs_start"), F.least(F.col("abs_end"), low + max_chunk) - F.col("abs_start")
-    parts = each.where(end > begin).withColumn("data", F.substring(F.col("raw"), (begin + 1).cast("int"), (end - begin).cast("int")))
-    whole = parts.groupBy("prefix", "number").agg(F.array_sort(F.collect_list(F.struct("ord", "data"))).alias("d"))
+def parts(rows: DataFrame, max_chunk: int, part: int = PART) -> DataFrame:
+    """Placed rows to (prefix, number, part, name, data): chunks in rows of `part` bytes at most, whatever a chunk's size."""
+    each = rows.select("prefix", "ord", "abs_start", "abs_end", "raw", F.explode(_touched(F.col("abs_start"), F.col("abs_end"), max_chunk, part)).alias("t"))
+    begin, end = F.greatest("abs_start", "t.low") - F.col("abs_start"), F.least("abs_end", "t.high") - F.col("abs_start")
+    cut = each.select("prefix", "ord", F.col("t.number").alias("number"), F.col("t.part").alias("part"), _cut(F.col("raw"), begin, end).alias("data"))
+    whole = cut.groupBy("prefix", "number", "part").agg(F.array_sort(F.collect_list(F.struct("ord", "data"))).alias("d"))
     data = F.aggregate("d", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["data"]))
-    return whole.select("prefix", F.col("number").cast("int").alias("number"), P.chunk_name(F.col("prefix"), F.col("number")).alias("name"), data.alias("data"))
+    return whole.select("prefix", "number", "part", P.chunk_name(F.col("prefix"), F.col("number")).alias("name"), data.alias("data"))
+
+
+def chunks(rows: DataFrame, max_chunk: int) -> DataFrame:
+    """Placed rows to (prefix, number, name, data), a row a chunk; chunks of over PART bytes are read as `parts`."""
+    if max_chunk > PART:
+        raise ValueError("chunks of this size are rows of `parts`")
+    return parts(rows, max_chunk).drop("part")
 
 
 def integrity(decoded: DataFrame, algorithm: str = "SHA256") -> DataFrame:

@@ -6,12 +6,17 @@ manifest_id, so every selection is a semi join that prunes partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.content import iso_instant, mebibytes
 from ..operators import sets as S
+from ..operators.order import running_sum
 
 START = "start_time_utc_epoch_seconds"
 
@@ -55,18 +60,45 @@ def latest_at(manifests: DataFrame, at: int | None = None) -> DataFrame:
     return rows.agg(F.max_by(F.struct(*manifests.columns), F.struct(START, "manifest_id")).alias("m")).where("m IS NOT NULL").select("m.*")
 
 
-def latest_for_each(times: DataFrame, manifests: DataFrame) -> DataFrame:
-    """D12 for many times: (at, manifest_id), by one union and a running last value instead of an inequality join."""
-    both = manifests.select(F.col(START).alias("at"), "manifest_id", F.lit(0).alias("__k")).unionByName(times.select("at", F.lit(None).cast("string").alias("manifest_id"), F.lit(1).alias("__k")))
-    # one row an increment: the window is over the header table
-    w = Window.partitionBy(F.lit(0)).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("manifest_id", F.last("manifest_id", ignorenulls=True).over(w)).where("__k = 1").select("at", "manifest_id")
+#: Increments that are looked up in a sorted array; more are joined.
+HEADERS = 1 << 20
+
+
+def latest_for_each(times: DataFrame, manifests: DataFrame, bound: int = HEADERS) -> DataFrame:
+    """D12 for many times: (at, manifest_id) of the newest increment with start <= at, null before the first.
+
+    Up to `bound` headers (counted first) are a sorted array in which each time is looked up where it lies. Beyond that
+    both sides are cut into spans of time: within a span by a running last value, before its first header by the last
+    one of the nearest earlier span that has any.
+    """
+    heads = manifests.groupBy(F.col(START).alias("at")).agg(F.max("manifest_id").alias("manifest_id"))
+    if heads.count() <= bound:
+        held = heads.orderBy("at").toArrow()
+        sent = times.sparkSession.sparkContext.broadcast((held.column("at").to_numpy(), held.column("manifest_id").combine_chunks()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            starts, names = sent.value
+            for b in batches:
+                at = b.column(0)
+                place = np.searchsorted(starts, at.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), "right") - 1
+                yield pa.RecordBatch.from_arrays([at, names.take(pa.array(place, mask=place < 0)).cast(pa.string())], ["at", "manifest_id"])
+
+        return times.select(F.col("at").cast("bigint").alias("at")).mapInArrow(run, "at long, manifest_id string")
+    span = F.floor(F.col("at") / (1 << 20))
+    both = heads.select("at", "manifest_id", F.lit(0).alias("__k")).unionByName(times.select(F.col("at").cast("bigint").alias("at"), F.lit(None).cast("string").alias("manifest_id"), F.lit(1).alias("__k"))).withColumn("__span", span)
+    within = Window.partitionBy("__span").orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    # a row a span: the last header of each, carried on to the spans after it
+    ends = both.groupBy("__span").agg(F.max_by("manifest_id", F.when(F.col("__k") == 0, F.col("at"))).alias("own"))
+    over = Window.partitionBy(F.lit(0)).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("__span", F.last("own", ignorenulls=True).over(over).alias("__before"))
+    rows = both.withColumn("manifest_id", F.last("manifest_id", ignorenulls=True).over(within)).where("__k = 1")
+    return rows.join(before, "__span", "left").select("at", F.coalesce("manifest_id", "__before").alias("manifest_id"))
 
 
 def chains(manifests: DataFrame) -> DataFrame:
-    """Manifests with the number of their chain, from the running count of FULL ones."""
-    w = Window.partitionBy(F.lit(0)).orderBy(START).rowsBetween(Window.unboundedPreceding, 0)
-    return manifests.withColumn("chain", F.sum(F.when(F.col("backup_type") == "FULL", 1).otherwise(0)).over(w))
+    """Manifests with the number of their chain, from the running count of FULL ones, in two levels."""
+    full = manifests.withColumn("__full", F.when(F.col("backup_type") == "FULL", F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return running_sum(full, [], START, "__full", "__earlier").withColumn("chain", F.col("__earlier") + F.col("__full")).drop("__full", "__earlier")
 
 
 def until_next_full(manifests: DataFrame, start: int) -> DataFrame:
@@ -92,8 +124,8 @@ def merged(selection: DataFrame, files: DataFrame, archives: DataFrame) -> dict[
     """The merged increment: files of the last manifest that are not deleted, the entries that they
     refer to, and its header, named prefix-first-last."""
     last = latest_at(selection).select("manifest_id")
-    kept = S.not_deleted(files.join(F.broadcast(last), "manifest_id", "left_semi"))
-    own = archives.join(F.broadcast(last), "manifest_id", "left_semi")
+    kept = S.not_deleted(files.join(last, "manifest_id", "left_semi"))
+    own = archives.join(last, "manifest_id", "left_semi")
     live = S.referenced_archives(own, kept)
     versions = selection.select(F.explode("backup_versions").alias("v")).agg(F.array_sort(F.collect_set("v")).alias("backup_versions"))
     head = selection.agg(F.min(START).alias("first"), F.max_by(F.struct("manifest_id", START, "app_version", "operating_system"), START).alias("m"), F.min_by("backup_type", START).alias("backup_type"))
@@ -106,7 +138,7 @@ def live_entries(selection: DataFrame, archives: DataFrame, last_archives: DataF
     """By source increment, the entry paths that the merged increment still needs."""
     need = last_archives.select("archive_location").distinct()
     each = selection.select("manifest_id", F.explode("backup_versions").alias("v"))
-    rows = archives.join(F.broadcast(each), ["manifest_id"]).where("archive_location.backup_increment = v")
+    rows = archives.join(each, ["manifest_id"]).where("archive_location.backup_increment = v")
     return rows.join(need, "archive_location", "left_semi").select("manifest_id", P.format_locator(F.col("archive_location.backup_increment"), F.col("archive_location.entry_name")).alias("entry_path")).distinct()
 
 
@@ -154,7 +186,7 @@ def delete_plan(listing: DataFrame, manifests: DataFrame) -> DataFrame:
         .when(F.col("name").endswith(".manifest.json.gz"), "history")
     )
     rows = listing.select("name", kind.alias("kind"), F.regexp_replace("name", r"\.([0-9]{5}\.cargo|index\.cargo|manifest\.cargo|manifest\.json\.gz)$", "").alias("manifest_id"))
-    return rows.where(F.col("kind").isNotNull()).join(F.broadcast(own), "manifest_id", "left_semi").select("name", "kind", "manifest_id")
+    return rows.where(F.col("kind").isNotNull()).join(own, "manifest_id", "left_semi").select("name", "kind", "manifest_id")
 
 
 def next_header(spark: SparkSession, previous: DataFrame | None, prefix: str, now: int, app_version: str, same_configuration: bool, force_full: bool = False) -> DataFrame:
@@ -167,7 +199,7 @@ def next_header(spark: SparkSession, previous: DataFrame | None, prefix: str, no
 
 def chosen(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """Rows of the given manifests."""
-    return files.join(F.broadcast(manifests.select("manifest_id")), "manifest_id", "left_semi")
+    return files.join(manifests.select("manifest_id"), "manifest_id", "left_semi")
 
 
 def is_last(rows: DataFrame, order: str) -> Column:

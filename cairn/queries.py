@@ -17,6 +17,7 @@ from .plans import archive as A
 from .plans import increments as I
 from .plans import restore as R
 from .schemas import change_dim
+from .sources import manifests as M
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -174,18 +175,47 @@ def archived_ids(spark, sf_dir):
     return S.archived_ids(X.archives(spark, sf_dir), X.increment(spark, sf_dir, 1))
 
 
-@query("find_by_hash", "SELECT DISTINCT a.path, b.path AS other FROM files a JOIN files b ON a.original_hash = b.original_hash WHERE a.increment = 2 AND a.hidden AND b.increment = 0")
+_HOLDERS = "SELECT a.id, count(DISTINCT b.path) AS n, min(b.path) AS first_path FROM files a LEFT JOIN files b ON a.{0} = b.{0} AND b.increment = 0 WHERE a.increment = {1} GROUP BY a.id"
+
+
+@query("find_by_hash", _HOLDERS.format("original_hash", 2))
 def find_by_hash(spark, sf_dir):
-    rows = X.files(spark, sf_dir)
-    a = rows.where("increment = 2 AND hidden").select("path", "original_hash")
-    return a.join(rows.where("increment = 0").select(F.col("path").alias("other"), "original_hash"), "original_hash").select("path", "other").distinct()
+    return S.holders(X.increment(spark, sf_dir, 0), "original_hash", X.increment(spark, sf_dir, 2)).select("id", "n", "first_path")
 
 
-@query("find_by_size", "SELECT a.id, count(b.id) AS n FROM files a LEFT JOIN files b ON a.original_size = b.original_size AND b.increment = 0 WHERE a.increment = 1 GROUP BY a.id")
+@query("find_by_size", _HOLDERS.format("original_size", 1))
 def find_by_size(spark, sf_dir):
+    return S.holders(X.increment(spark, sf_dir, 0), "original_size", X.increment(spark, sf_dir, 1)).select("id", "n", "first_path")
+
+
+@query("find_by_path", f"SELECT {_COLS} FROM files WHERE increment = 1 AND path IN (SELECT path FROM files WHERE increment = 2 AND hidden)")
+def find_by_path(spark, sf_dir):
+    return _select(S.by_paths(X.increment(spark, sf_dir, 1), X.increment(spark, sf_dir, 2).where("hidden")))
+
+
+@query("find_by_id", f"SELECT {_COLS} FROM files WHERE id IN (SELECT files[1] FROM archives)")
+def find_by_id(spark, sf_dir):
+    return _select(S.by_ids(X.files(spark, sf_dir), X.archives(spark, sf_dir).select(F.col("files")[0].alias("id"))))
+
+
+@query("contains_path", "SELECT path, path IN (SELECT path FROM files WHERE increment = 2) AS known FROM files WHERE increment = 0")
+def contains_path(spark, sf_dir):
+    return S.contains(X.increment(spark, sf_dir, 2), X.increment(spark, sf_dir, 0), "path")
+
+
+_MAPS = "old AS (SELECT path, status FROM files WHERE increment = 0), new AS (SELECT path, arg_max(status, increment) AS status FROM files WHERE increment > 0 GROUP BY path)"
+
+
+@query("change_map_put", f"WITH {_MAPS} SELECT * FROM new UNION ALL SELECT * FROM old WHERE path NOT IN (SELECT path FROM new)")
+def change_map_put(spark, sf_dir):
     rows = X.files(spark, sf_dir)
-    sizes = rows.where("increment = 0").groupBy("original_size").agg(F.count("*").alias("n"))
-    return rows.where("increment = 1").join(sizes, "original_size", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return S.put(rows.where("increment = 0").select("path", "status"), rows.where("increment > 0"), "path", "increment")
+
+
+@query("change_map_remove", f"WITH {_MAPS} SELECT * FROM old WHERE path NOT IN (SELECT path FROM new)")
+def change_map_remove(spark, sf_dir):
+    rows = X.files(spark, sf_dir)
+    return S.remove(rows.where("increment = 0").select("path", "status"), rows.where("increment > 0"), "path")
 
 
 @query("status_or_default", _delta_sql(1, _SAME_HASH, "original_hash", "SELECT f.path, coalesce(d.change, 'NO_CHANGE') AS change FROM (SELECT DISTINCT path FROM files WHERE increment = 0) f LEFT JOIN delta d ON f.path = d.path"))
@@ -235,9 +265,22 @@ def resolve_links(spark, sf_dir):
     return S.resolve_links(_links(spark, sf_dir), X.increment(spark, sf_dir, 1), _targets(spark))
 
 
-@query("version_gaps", "WITH m AS (SELECT * FROM manifests WHERE start_time_utc_epoch_seconds IN (1000, 3000, 4000)), v AS (SELECT unnest(backup_versions) AS v FROM m) SELECT 3 AS n, '1' AS missing, '3' AS unexpected FROM v LIMIT 1")
+_AT = "moment AS (SELECT max(start_time_utc_epoch_seconds) * 6 // 10 AS t FROM manifests)"
+_ASOF = f"{_AT}, chain AS (SELECT m.* FROM manifests m, moment WHERE start_time_utc_epoch_seconds <= t AND start_time_utc_epoch_seconds >= (SELECT max(start_time_utc_epoch_seconds) FROM manifests, moment WHERE backup_type = 'FULL' AND start_time_utc_epoch_seconds <= t))"
+
+
+def _share(heads: DataFrame, tenths: int) -> int:
+    """A time at so many tenths of the history."""
+    return heads.agg(F.max(I.START)).first()[0] * tenths // 10
+
+
+@query(
+    "version_gaps",
+    f"WITH {_ASOF}, v AS (SELECT unnest(backup_versions) AS v FROM chain WHERE start_time_utc_epoch_seconds % 70 <> 0), n AS (SELECT count(*) AS n FROM v), w AS (SELECT unnest(range(n)) AS i FROM n) SELECT CAST(n AS INT) AS n, coalesce((SELECT string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FROM w WHERE i NOT IN (SELECT v FROM v)), '') AS missing, coalesce((SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM v WHERE v NOT IN (SELECT i FROM w)), '') AS unexpected FROM n",
+)
 def version_gaps(spark, sf_dir):
-    rows = S.version_gaps(X.manifests(spark).where("start_time_utc_epoch_seconds IN (1000, 3000, 4000)"))
+    heads = X.chain(spark, sf_dir)
+    rows = S.version_gaps(I.as_of(heads, _share(heads, 6)).where(F.col(I.START) % 70 != 0))
     return rows.select(F.col("n").cast("int").alias("n"), F.concat_ws(",", F.col("missing").cast("array<string>")).alias("missing"), F.concat_ws(",", F.col("unexpected").cast("array<string>")).alias("unexpected"))
 
 
@@ -292,25 +335,28 @@ def glob_filter(spark, sf_dir):
     return S.select_by_globs(paths, "/src1", ["**[02468].txt", "[a-e]*/*1.txt"], ["fr", "**/*4.txt"])
 
 
-@query("copy_archive_details", "SELECT DISTINCT backup_increment, original_hash FROM archives WHERE backup_increment = 1")
+def _uuid(text: str) -> str:
+    """The UUID form of a text's MD5."""
+    return " || '-' || ".join(f"substr(md5({text}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+
+
+@query("copy_archive_details", f"SELECT {_uuid("'copy' || chr(31) || id")} AS id, backup_increment, original_hash, 0 AS n_files FROM archives WHERE backup_increment = 1")
 def copy_archive_details(spark, sf_dir):
-    rows = S.of_increments(X.archives(spark, sf_dir), [1])
-    copied = rows.withColumn("id", C.derived_id(F.lit("copy"), F.col("id"))).withColumn("files", F.array().cast("array<string>"))
-    return copied.select(F.col("archive_location.backup_increment").alias("backup_increment"), "original_hash").distinct()
+    copied = S.copy_details(S.of_increments(X.archives(spark, sf_dir), [1]))
+    return copied.select("id", F.col("archive_location.backup_increment").alias("backup_increment"), "original_hash", F.size("files").alias("n_files"))
 
 
 @query("update_archive_id", "SELECT f.id, coalesce(n.e, f.archive_metadata_id) AS archive_metadata_id FROM files f LEFT JOIN (SELECT id, 'new-' || id AS e FROM files WHERE hidden) n ON f.id = n.id WHERE f.increment = 2")
 def update_archive_id(spark, sf_dir):
     rows = X.increment(spark, sf_dir, 2)
-    new = rows.where("hidden").select("id", F.concat(F.lit("new-"), "id").alias("e"))
-    return rows.join(new, "id", "left").select("id", F.coalesce("e", "archive_metadata_id").alias("archive_metadata_id"))
+    new = rows.where("hidden").select("id", F.concat(F.lit("new-"), "id").alias("archive_metadata_id"))
+    return S.relink(rows, new).select("id", "archive_metadata_id")
 
 
-@query("manifest_names", "SELECT 'set-' || s || x AS name FROM (VALUES (1000), (2000), (3000)) a(s), (VALUES ('.manifest.cargo')) b(x)", fixture=False)
+@query("manifest_names", "SELECT p || '-' || start_time_utc_epoch_seconds || x AS name FROM manifests, (VALUES ('set')) a(p), (VALUES ('.manifest.cargo')) b(x)")
 def manifest_names(spark, sf_dir):
-    names = [f"{p}-{s}{x}" for p in ("set", "settle") for s in (1000, 2000, 3000) for x in (".manifest.cargo", ".index.cargo", ".00001.cargo")]
-    rows = spark.createDataFrame([(n,) for n in names], "name string")
-    return rows.where(F.col("name").rlike(r"^set-\d+(-\d+)?\.manifest\.cargo$"))
+    names = F.array(*[F.concat(F.lit(f"{p}-"), F.col(I.START).cast("string"), F.lit(x)) for p in ("set", "settle") for x in (".manifest.cargo", ".index.cargo", ".00001.cargo")])
+    return M.manifest_files(X.chain(spark, sf_dir).select(F.explode(names).alias("name")), "set")
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------------
@@ -328,7 +374,7 @@ def counts_by_status(spark, sf_dir):
 
 @query("count_all", "SELECT count(*) AS n, count(*) FILTER (WHERE file_type IN ('REGULAR_FILE', 'SYMBOLIC_LINK')) AS n_content FROM files")
 def count_all(spark, sf_dir):
-    return X.files(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(C.is_content(F.col("file_type"))).alias("n_content"))
+    return S.count_all(X.files(spark, sf_dir))
 
 
 @query("total_size", "SELECT CAST(coalesce(sum(original_size), 0) AS BIGINT) AS total_size FROM files WHERE increment = 1")
@@ -353,7 +399,7 @@ def duplicates_by_hash(spark, sf_dir):
     return _groups(spark, sf_dir, "KEEP_ONE_PER_BACKUP", "SHA256")
 
 
-@query("duplicates_by_name", _GROUP.format(key="split_part(path, '/', -1) || '_' || original_size || '_' || last_modified_utc_epoch_seconds"))
+@query("duplicates_by_name", _GROUP.format(key="split_part(path, '/', -1) || '_' || coalesce(CAST(original_size AS VARCHAR), 'null') || '_' || last_modified_utc_epoch_seconds"))
 def duplicates_by_name(spark, sf_dir):
     return _groups(spark, sf_dir, "KEEP_ONE_PER_BACKUP", "NONE")
 
@@ -373,10 +419,19 @@ def saved_bytes(spark, sf_dir):
     return dedup.saved_bytes(X.increment(spark, sf_dir, 0), "KEEP_ONE_PER_BACKUP", "SHA256")
 
 
-@query("store_groups", "SELECT count(*) AS n_entries, CAST(sum(n) AS BIGINT) AS n_files FROM (SELECT count(*) AS n FROM files WHERE increment = 0 AND file_type <> 'DIRECTORY' GROUP BY original_hash, original_size)")
+_STORED = "g AS (SELECT min_by(id, (path, id)) AS first_id, min_by(manifest_id, (path, id)) AS manifest_id, min_by(original_hash, (path, id)) AS original_hash, list_sort(list(id)) AS files FROM files WHERE increment = 0 AND file_type <> 'DIRECTORY' GROUP BY coalesce(original_hash, 'null') || '_' || coalesce(CAST(original_size AS VARCHAR), 'null'))"
+
+
+@query("store_groups", f"WITH {_STORED} SELECT manifest_id, {_uuid("'entry' || chr(31) || first_id")} AS id, {_uuid("'name' || chr(31) || first_id")} AS entry_name, original_hash, array_to_string(files, ',') AS files FROM g")
 def store_groups(spark, sf_dir):
     entries, _ = dedup.store_groups(X.increment(spark, sf_dir, 0), "KEEP_ONE_PER_BACKUP", "SHA256", 0)
-    return entries.agg(F.count("*").alias("n_entries"), F.sum(F.size("files")).cast("bigint").alias("n_files"))
+    return entries.select("manifest_id", "id", F.col("archive_location.entry_name").alias("entry_name"), "original_hash", F.array_join("files", ",").alias("files"))
+
+
+@query("store_group_links", f"WITH {_STORED}, m AS (SELECT unnest(files) AS id, {_uuid("'entry' || chr(31) || first_id")} AS entry FROM g) SELECT f.id, coalesce(m.entry, f.archive_metadata_id) AS archive_metadata_id FROM files f LEFT JOIN m ON f.id = m.id WHERE f.increment = 0")
+def store_group_links(spark, sf_dir):
+    _, rows = dedup.store_groups(X.increment(spark, sf_dir, 0), "KEEP_ONE_PER_BACKUP", "SHA256", 0)
+    return rows.select("id", "archive_metadata_id")
 
 
 @query("link_previous", _delta_sql(1, _SAME_HASH, "original_hash", "SELECT d.id AS file_id, b.backup_increment, b.original_hash FROM delta d JOIN files p ON p.path = d.prev_path AND p.increment = d.prev_increment JOIN archives b ON b.id = p.archive_metadata_id WHERE d.change IN ('NO_CHANGE', 'METADATA_CHANGED', 'ROLLED_BACK') AND p.file_type <> 'DIRECTORY'"))
@@ -398,21 +453,21 @@ def case_collisions(spark, sf_dir):
     return S.case_collisions(rows.select("path").unionAll(rows.where("hidden").select(F.upper("path"))))
 
 
-@query("max_app_version", "SELECT '0.10.2' AS max_version FROM manifests LIMIT 1")
+@query("max_app_version", "SELECT app_version AS max_version FROM manifests ORDER BY CAST(split_part(app_version, '.', 1) AS INT) DESC, CAST(split_part(app_version, '.', 2) AS INT) DESC, CAST(split_part(app_version, '.', 3) AS INT) DESC LIMIT 1")
 def max_app_version(spark, sf_dir):
-    return S.max_version(X.manifests(spark))
+    return S.max_version(X.chain(spark, sf_dir))
 
 
 @query("prefix_versions", "SELECT manifest_id AS prefix, unnest(backup_versions) AS version FROM manifests")
 def prefix_versions(spark, sf_dir):
-    return S.prefix_versions(X.manifests(spark))
+    return S.prefix_versions(X.chain(spark, sf_dir))
 
 
 @query("merged_keys", "WITH k AS (SELECT start_time_utc_epoch_seconds AS s, unnest(backup_versions) AS version, i AS key_index FROM manifests, range(3) r(i)) SELECT CAST(version AS INT) AS version, CAST(key_index AS INT) AS key_index, 'key-' || max(s) || '-' || key_index AS key FROM k GROUP BY version, key_index")
 def merged_keys(spark, sf_dir):
     version, start = F.col("backup_versions")[0].cast("string"), F.col(I.START).cast("string")
     own = F.create_map(*[x for i in range(3) for x in (F.lit(str(i)), F.concat(F.lit("key-"), start, F.lit(f"-{i}")))])
-    return S.merged_keys(X.manifests(spark).withColumn("encryption_keys", F.create_map(version, own)))
+    return S.merged_keys(X.chain(spark, sf_dir).withColumn("encryption_keys", F.create_map(version, own)))
 
 
 @query("single_type", "SELECT '/' || a.backup_increment || '/' || a.entry_name AS locator, count(DISTINCT f.file_type) AS n_types, min(f.file_type) AS file_type FROM (SELECT *, unnest(files) AS fid FROM archives) a JOIN files f ON f.id = a.fid GROUP BY 1")
@@ -420,9 +475,11 @@ def single_type(spark, sf_dir):
     return S.single_type(S.files_at(X.archives(spark, sf_dir), X.files(spark, sf_dir)))
 
 
-@query("progress_percent", "SELECT CAST(floor(sum(p * w) / sum(w) + 0.5) AS BIGINT) AS percent FROM (SELECT least(100, greatest(0, floor(d * 100.0 / t + 0.5))) AS p, w FROM (VALUES (100, 37, 1), (7, 7, 3), (9, 0, 2), (50, 75, 4)) v(t, d, w))", fixture=False)
+@query("progress_percent", "WITH s AS (SELECT o_orderpriority AS step, CAST(count(*) AS BIGINT) AS t, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS d, CAST(min(o_custkey) % 7 + 1 AS BIGINT) AS w FROM orders GROUP BY 1) SELECT CAST(floor(sum(p * w) / sum(w) + 0.5) AS BIGINT) AS percent FROM (SELECT least(100, greatest(0, floor(d * 100.0 / t + 0.5))) AS p, w FROM s)", fixture=False)
 def progress_percent(spark, sf_dir):
-    return S.progress(spark.createDataFrame([("scan", 100, 37, 1), ("parse", 7, 7, 3), ("delta", 9, 0, 2), ("store", 50, 75, 4)], "step string, total long, done long, weight long"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    steps = orders.groupBy(F.col("o_orderpriority").alias("step")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), (F.min("o_custkey") % 7 + 1).alias("weight"))
+    return S.progress(steps)
 
 
 @query("increment_summary", "SELECT manifest_id, count(*) AS n_files, CAST(sum(original_size) // 1048576 AS BIGINT) AS mib, strftime(make_timestamp((1704067200 + any_value(increment) * 86400) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS started FROM files GROUP BY manifest_id")
@@ -434,12 +491,12 @@ def increment_summary(spark, sf_dir):
 
 @query("distinct_manifests", "SELECT DISTINCT manifest_id FROM files")
 def distinct_manifests(spark, sf_dir):
-    return X.files(spark, sf_dir).select("manifest_id").dropDuplicates(["manifest_id"])
+    return S.distinct_manifests(X.files(spark, sf_dir))
 
 
 @query("size_violations", "SELECT m.manifest_id, 0 AS n_files FROM manifests m WHERE m.manifest_id NOT IN (SELECT manifest_id FROM files)")
 def size_violations(spark, sf_dir):
-    return S.size_violations(X.manifests(spark), X.files(spark, sf_dir), True).select("manifest_id", F.col("n_files").cast("int").alias("n_files"))
+    return S.size_violations(X.chain(spark, sf_dir), X.files(spark, sf_dir), True).select("manifest_id", F.col("n_files").cast("int").alias("n_files"))
 
 
 # --- order -----------------------------------------------------------------------------------------------------------
@@ -457,7 +514,7 @@ def first_examples(spark, sf_dir):
 
 @query("newest_manifests", "SELECT manifest_id, row_number() OVER (ORDER BY start_time_utc_epoch_seconds DESC) AS nth FROM manifests")
 def newest_manifests(spark, sf_dir):
-    rows = X.manifests(spark).withColumn("order_", -F.col(I.START))
+    rows = X.chain(spark, sf_dir).withColumn("order_", -F.col(I.START))
     return O.rank(rows, [], "order_", "nth").select("manifest_id", "nth")
 
 
@@ -470,35 +527,53 @@ def _heads(df):
     return df.select("manifest_id", I.START, "backup_type")
 
 
-@query("as_of", f"SELECT {_M} FROM manifests WHERE start_time_utc_epoch_seconds BETWEEN 5000 AND 6500")
+@query("as_of", f"WITH {_ASOF} SELECT {_M} FROM chain")
 def as_of(spark, sf_dir):
-    return _heads(I.checked_chain(I.as_of(X.manifests(spark), 6500)))
+    heads = X.chain(spark, sf_dir)
+    return _heads(I.checked_chain(I.as_of(heads, _share(heads, 6))))
 
 
-@query("latest_at", f"SELECT {_M} FROM manifests WHERE start_time_utc_epoch_seconds = 4000")
+@query("latest_at", f"WITH {_AT} SELECT {_M} FROM manifests, moment WHERE start_time_utc_epoch_seconds <= t ORDER BY start_time_utc_epoch_seconds DESC LIMIT 1")
 def latest_at(spark, sf_dir):
-    return _heads(I.latest_at(X.manifests(spark), 4999))
+    heads = X.chain(spark, sf_dir)
+    return _heads(I.latest_at(heads, _share(heads, 6)))
 
 
-@query("latest_for_each", "SELECT t AS at, (SELECT max_by(manifest_id, start_time_utc_epoch_seconds) FROM manifests WHERE start_time_utc_epoch_seconds <= t) AS manifest_id FROM (SELECT DISTINCT CAST(o_orderkey % 9000 AS BIGINT) AS t FROM orders)")
+@query("latest_for_each", "WITH t AS (SELECT DISTINCT CAST(o_custkey * 37 + o_orderkey * 3 AS BIGINT) AS at FROM orders) SELECT t.at, m.manifest_id FROM t ASOF LEFT JOIN manifests m ON t.at >= m.start_time_utc_epoch_seconds")
 def latest_for_each(spark, sf_dir):
-    times = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 9000).alias("at")).distinct()
-    return I.latest_for_each(times, X.manifests(spark))
+    times = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") * 37 + F.col("o_orderkey") * 3).cast("bigint").alias("at")).distinct()
+    return I.latest_for_each(times, X.chain(spark, sf_dir))
 
 
 @query("chain_numbers", "SELECT manifest_id, CAST(sum(CASE WHEN backup_type = 'FULL' THEN 1 ELSE 0 END) OVER (ORDER BY start_time_utc_epoch_seconds) AS BIGINT) AS chain FROM manifests")
 def chain_numbers(spark, sf_dir):
-    return I.chains(X.manifests(spark)).select("manifest_id", "chain")
+    return I.chains(X.chain(spark, sf_dir)).select("manifest_id", "chain")
+
+
+def _first_from(heads: DataFrame, tenths: int, more: int = 0) -> int:
+    """The first start at or after so many tenths of the history."""
+    return heads.where(F.col(I.START) >= _share(heads, tenths) + more).agg(F.min(I.START)).first()[0]
 
 
-@query("until_next_full", f"SELECT {_M} FROM manifests WHERE start_time_utc_epoch_seconds BETWEEN 2000 AND 4999")
+_SINCE = "b AS (SELECT min(start_time_utc_epoch_seconds) AS first FROM manifests WHERE start_time_utc_epoch_seconds >= (SELECT max(start_time_utc_epoch_seconds) * {0} // 10 FROM manifests)), until AS (SELECT m.* FROM manifests m, b WHERE start_time_utc_epoch_seconds >= first AND start_time_utc_epoch_seconds < coalesce((SELECT min(start_time_utc_epoch_seconds) FROM manifests, b WHERE backup_type = 'FULL' AND start_time_utc_epoch_seconds > first), 9223372036854775807))"
+
+
+@query("until_next_full", f"WITH {_SINCE.format(4)} SELECT {_M} FROM until")
 def until_next_full(spark, sf_dir):
-    return _heads(I.until_next_full(X.manifests(spark), 2000))
+    heads = X.chain(spark, sf_dir)
+    return _heads(I.until_next_full(heads, _first_from(heads, 4)))
+
 
+_RANGE = "e AS (SELECT max(start_time_utc_epoch_seconds) * 3 // 10 AS low FROM manifests), ends AS (SELECT min(start_time_utc_epoch_seconds) FILTER (WHERE start_time_utc_epoch_seconds >= low) AS first, min(start_time_utc_epoch_seconds) FILTER (WHERE start_time_utc_epoch_seconds >= low + 2900) AS last FROM manifests, e), ranged AS (SELECT m.* FROM manifests m, ends WHERE start_time_utc_epoch_seconds BETWEEN first AND last), selected AS (SELECT * FROM ranged WHERE start_time_utc_epoch_seconds >= coalesce((SELECT max(start_time_utc_epoch_seconds) FROM ranged WHERE backup_type = 'FULL'), 0))"
 
-@query("merge_selection", f"SELECT {_M} FROM manifests WHERE start_time_utc_epoch_seconds BETWEEN 5000 AND 6000")
+
+def _selection(heads: DataFrame) -> DataFrame:
+    return I.merge_selection(heads, _first_from(heads, 3), _first_from(heads, 3, 2900))
+
+
+@query("merge_selection", f"WITH {_RANGE} SELECT {_M} FROM selected")
 def merge_selection(spark, sf_dir):
-    return _heads(I.merge_selection(X.manifests(spark), 2000, 6000))
+    return _heads(_selection(X.chain(spark, sf_dir)))
 
 
 def _chain_heads(spark):
@@ -515,9 +590,20 @@ def merge_live_entries(spark, sf_dir):
     return I.merged(_chain_heads(spark), X.files(spark, sf_dir), X.archives(spark, sf_dir))["archives"].select("id")
 
 
-@query("merge_header", f"SELECT 'set-{X.EPOCH}-{X.EPOCH + 2 * X.DAY}' AS manifest_id, 'FULL' AS backup_type", fixture=False)
+@query("merge_header", f"WITH {_RANGE} SELECT 'set-' || min(start_time_utc_epoch_seconds) || '-' || max(start_time_utc_epoch_seconds) AS manifest_id, arg_min(backup_type, start_time_utc_epoch_seconds) AS backup_type, arg_max(app_version, start_time_utc_epoch_seconds) AS app_version FROM selected")
 def merge_header(spark, sf_dir):
-    return I.merged(_chain_heads(spark), X.files(spark, sf_dir), X.archives(spark, sf_dir))["header"].select("manifest_id", "backup_type")
+    return I.merged(_selection(X.chain(spark, sf_dir)), X.files(spark, sf_dir), X.archives(spark, sf_dir))["header"].select("manifest_id", "backup_type", "app_version")
+
+
+@query("merge_version_directories", f"WITH {_RANGE} SELECT DISTINCT '/' || unnest(backup_versions) AS path FROM selected")
+def merge_version_directories(spark, sf_dir):
+    return I.version_directories(_selection(X.chain(spark, sf_dir)))
+
+
+@query("merge_entry_paths", "SELECT DISTINCT manifest_id, '/' || backup_increment || '/' || entry_name AS entry_path FROM archives WHERE entry_name IN (SELECT entry_name FROM archives WHERE backup_increment = 2)")
+def merge_entry_paths(spark, sf_dir):
+    rows = X.archives(spark, sf_dir)
+    return I.live_entries(_chain_heads(spark), rows, S.of_increments(rows, [2]))
 
 
 @query("inspect_content", "SELECT permissions, owner, \"group\", original_size AS size, strftime(make_timestamp(last_modified_utc_epoch_seconds * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS last_modified, coalesce(original_hash, '-') AS hash_sha256, path FROM files WHERE increment = 1")
@@ -526,12 +612,12 @@ def inspect_content(spark, sf_dir):
     return I.contents(I.chosen(X.files(spark, sf_dir), last))
 
 
-@query("delete_plan", "SELECT m.manifest_id || x AS name, k AS kind, m.manifest_id FROM manifests m, (VALUES ('.00001.cargo', 'chunk'), ('.00002.cargo', 'chunk'), ('.index.cargo', 'index'), ('.manifest.cargo', 'manifest'), ('.manifest.json.gz', 'history')) v(x, k) WHERE m.start_time_utc_epoch_seconds IN (5000, 6000)")
+@query("delete_plan", f"WITH {_SINCE.format(5)} SELECT m.manifest_id || x AS name, k AS kind, m.manifest_id FROM until m, (VALUES ('.00001.cargo', 'chunk'), ('.00002.cargo', 'chunk'), ('.index.cargo', 'index'), ('.manifest.cargo', 'manifest'), ('.manifest.json.gz', 'history')) v(x, k)")
 def delete_plan(spark, sf_dir):
-    heads = X.manifests(spark)
+    heads = X.chain(spark, sf_dir)
     ends = [".00001.cargo", ".00002.cargo", ".index.cargo", ".manifest.cargo", ".manifest.json.gz", ".0001.cargo", ".txt"]
     listing = heads.select(F.explode(F.array(*[F.concat("manifest_id", F.lit(e)) for e in ends])).alias("name"))
-    return I.delete_plan(listing, I.until_next_full(heads, 5000))
+    return I.delete_plan(listing, I.until_next_full(heads, _first_from(heads, 5)))
 
 
 # --- restore ---------------------------------------------------------------------------------------------------------
@@ -597,10 +683,10 @@ def archive_offsets(spark, sf_dir):
     return _offset_rows(spark, sf_dir).select("prefix", "ord", "abs_start", "abs_end", "start_chunk", "end_chunk", "rel_start", "rel_end", "end_file")
 
 
-@query("range_scan", "WITH " + _OFFSETS + ", w AS (SELECT prefix, min(abs_start) AS low, max(abs_end) AS high FROM r WHERE ord % 971 = 5 AND abs_start BETWEEN 2000000 AND 40000000 GROUP BY prefix) SELECT r.prefix, r.ord FROM r JOIN w ON r.prefix = w.prefix WHERE abs_start >= low AND abs_end <= high", fixture=False)
+@query("range_scan", "WITH " + _OFFSETS + ", w AS (SELECT prefix, min(abs_start) AS low, max(abs_end) AS high FROM r WHERE ord % 971 = 5 GROUP BY prefix) SELECT r.prefix, r.ord FROM r JOIN w ON r.prefix = w.prefix WHERE abs_start >= low AND abs_end <= high", fixture=False)
 def range_scan(spark, sf_dir):
     index = _offset_rows(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), F.col("ord").cast("string")))
-    wanted = index.where("ord % 971 = 5 AND abs_start BETWEEN 2000000 AND 40000000")
+    wanted = index.where("ord % 971 = 5")
     return A.range_scan(index, wanted).select("prefix", "ord")
 
 
@@ -614,34 +700,59 @@ def entry_parts(spark, sf_dir):
     return R.partitions(_entries(spark, sf_dir), "ord", 7).select("prefix", "ord", "rank", "part")
 
 
-@query("index_round_trip", "WITH " + _OFFSETS + " SELECT prefix, ord, '/' || ord AS path, abs_start, abs_end, arch_size FROM r WHERE ord < 100000000", fixture=False)
-def index_round_trip(spark, sf_dir):
-    rows = _offset_rows(spark, sf_dir).where("ord < 100000000")
+def _index(spark, sf_dir):
+    rows = _offset_rows(spark, sf_dir)
     fields = {"orig_size": F.col("arch_size"), "orig_hash": F.lit(None).cast("string"), "arch_hash": F.lit("h")}
-    content = F.struct(*[fields.get(k, F.col(k) if k not in fields else None).alias(k) if k not in fields else fields[k].alias(k) for k in A.BOUNDARY_KEYS])
-    index = rows.select("prefix", "ord", F.concat(F.lit("/"), F.col("ord").cast("string")).alias("path"), F.lit("REGULAR_FILE").alias("type"), F.lit(False).alias("encrypted"), content.alias("content"), F.lit(None).cast(rows.select(content.alias("c")).schema["c"].dataType).alias("metadata"))
-    back = A.parse_index(A.index_lines(index))
+    content = F.struct(*[fields.get(k, F.col(k) if k in rows.columns else None).alias(k) for k in A.BOUNDARY_KEYS])
+    none = F.lit(None).cast(rows.select(content.alias("c")).schema["c"].dataType)
+    return rows.select("prefix", "ord", F.concat(F.lit("/"), F.col("ord").cast("string")).alias("path"), F.lit("REGULAR_FILE").alias("type"), F.lit(False).alias("encrypted"), content.alias("content"), none.alias("metadata"))
+
+
+@query("index_round_trip", "WITH " + _OFFSETS + " SELECT prefix, ord, '/' || ord AS path, abs_start, abs_end, arch_size FROM r", fixture=False)
+def index_round_trip(spark, sf_dir):
+    back = A.parse_index(A.index_lines(_index(spark, sf_dir)))
     return back.select("prefix", "ord", "path", "content.abs_start", "content.abs_end", "content.arch_size")
 
 
-_FOOT = "f(prefix, last_chunk, last_size, max_size) AS (VALUES ('new', 3, 400, 1000), ('old', 2, 10, 500))"
+_FOOT = _OFFSETS + f", f AS (SELECT prefix, max(end_chunk) AS last_chunk, max(abs_end) - (max(end_chunk) - 1) * {_CHUNK} AS last_size, count(*) AS n, max(abs_end) AS total FROM r GROUP BY prefix)"
+
+
+def _footers(spark, sf_dir):
+    """Footers of the archives of `_entries`; every other one with the old files' misspelt keys."""
+    totals = _offset_rows(spark, sf_dir).groupBy("prefix").agg(F.max("end_chunk").alias("last"), F.max("abs_end").alias("total"), F.count("*").alias("n"))
+    odd = F.col("prefix").isin("arc1", "arc3")
 
+    def line(key: str, value) -> F.Column:
+        return F.concat(F.when(odd, key.replace("chunk", "cnunk")).otherwise(key), F.lit(":"), value.cast("string"))
 
-def _footers(spark):
-    new = ["last.chunk.index:3", "last.chunk.size:400", "max.chunk.size:1000", "last.entity.index:9", "total.size:2400", "version:2"]
-    old = ["last.cnunk.index:2", "last.cnunk.size:10", "max.cnunk.size:500", "last.entity.index:4", "total.size:510"]
-    return A.footer(spark.createDataFrame([("new", x) for x in new] + [("old", x) for x in old], "prefix string, line string"))
+    lines = [line("last.chunk.index", F.col("last")), line("last.chunk.size", F.col("total") - (F.col("last") - 1) * F.lit(_CHUNK)), line("max.chunk.size", F.lit(_CHUNK)), line("last.entity.index", F.col("n")), line("total.size", F.col("total")), F.when(~odd, "version:2")]
+    return A.footer(totals.select("prefix", F.explode(F.array_compact(F.array(*lines))).alias("line")))
 
 
-@query("chunk_list", f"WITH {_FOOT} SELECT prefix, format('{{}}.{{:05d}}.cargo', prefix, n) AS name, CAST(CASE WHEN n = last_chunk THEN last_size ELSE max_size END AS BIGINT) AS size FROM f, range(1, 4) r(n) WHERE n <= last_chunk", fixture=False)
+@query("archive_footer", f"WITH {_FOOT} SELECT prefix, CASE WHEN prefix IN ('arc1', 'arc3') THEN 1 ELSE 2 END AS version, last_chunk, last_size AS last_chunk_size, n AS n_entities, total AS total_size FROM f", fixture=False)
+def archive_footer(spark, sf_dir):
+    return _footers(spark, sf_dir).select("prefix", "version", "last_chunk", "last_chunk_size", "n_entities", "total_size")
+
+
+_CHUNKS = f"WITH {_FOOT}, c AS (SELECT prefix, unnest(range(1, last_chunk + 1)) AS n, last_chunk, last_size FROM f)"
+
+
+@query("chunk_list", _CHUNKS + f" SELECT prefix, format('{{}}.{{:05d}}.cargo', prefix, n) AS name, CAST(CASE WHEN n = last_chunk THEN last_size ELSE {_CHUNK} END AS BIGINT) AS size FROM c", fixture=False)
 def chunk_list(spark, sf_dir):
-    return A.expected_chunks(_footers(spark))
+    return A.expected_chunks(_footers(spark, sf_dir))
 
 
-@query("chunk_violations", "SELECT 'old.00002.cargo' AS name", fixture=False)
+@query("chunk_violations", _CHUNKS + " SELECT format('{}.{:05d}.cargo', prefix, n) AS name FROM c WHERE n % 5 = 2 OR n % 7 = 3", fixture=False)
 def chunk_violations(spark, sf_dir):
-    listing = A.expected_chunks(_footers(spark)).select("name", F.when(F.col("name") == "old.00002.cargo", 11).otherwise(F.col("size")).alias("size"))
-    return A.chunk_violations(_footers(spark), listing).select("name")
+    footers, number = _footers(spark, sf_dir), F.substring("name", -11, 5).cast("int")
+    listing = A.expected_chunks(footers).where(number % 7 != 3).select("name", F.when(number % 5 == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"))
+    return A.chunk_violations(footers, listing).select("name")
+
+
+@query("entry_lookup", "WITH " + _OFFSETS + " SELECT prefix, ord, '/' || ord AS path, abs_start, abs_end FROM r WHERE ord = (SELECT max(ord) FROM r)", fixture=False)
+def entry_lookup(spark, sf_dir):
+    index, last = _index(spark, sf_dir), _entries(spark, sf_dir).agg(F.max("ord")).first()[0]
+    return A.entry_at(A.index_lines(index), f"/{last}").select("prefix", "ord", "path", "content.abs_start", "content.abs_end")
 
 
 @query("unsafe_paths", "SELECT path || '/../x' AS path FROM files WHERE increment = 0 AND hidden")
@@ -657,19 +768,21 @@ def entity_path_rules(spark, sf_dir):
     return A.path_violations(rows.unionByName(more).unionByName(more.withColumn("path", F.concat(F.lit("x"), "path"))))
 
 
-@query("archive_integrity", "SELECT 'arc' || source AS prefix, true AS valid, count(*) AS n FROM documents WHERE source IN ('src0', 'src1') AND text IS NOT NULL AND text <> '' GROUP BY source", fixture=False)
+@query("archive_integrity", "SELECT 'arc' || coalesce(source, 'none') AS prefix, bool_and(doc_id % 997 <> 3) AS valid, count(*) AS n, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM documents GROUP BY 1", fixture=False)
 def archive_integrity(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source IN ('src0', 'src1') AND text <> ''")
-    text = F.col("text").cast("binary")
-    rows = docs.select(F.concat(F.lit("arc"), "source").alias("prefix"), F.col("doc_id").alias("ord"), text.alias("data"), F.octet_length(text).cast("bigint").alias("arch_size"), F.sha2(text, 256).alias("arch_hash"), F.sha2(text, 256).alias("orig_hash"))
-    placed = A.offsets(rows, "arc", 1 << 30)
-    chunks = placed.groupBy("prefix", F.col("end_chunk").alias("number")).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("ord", "data"))), F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["data"])).alias("data"))
-    return A.integrity(A.content_of(placed.drop("data"), chunks)).select("prefix", "valid", "n")
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stored = F.when(F.col("doc_id") % 997 == 3, "another hash").otherwise(F.sha2(text, 256))
+    rows = docs.select(F.concat(F.lit("arc"), F.coalesce("source", F.lit("none"))).alias("prefix"), F.col("doc_id").alias("ord"), text.alias("raw"), F.octet_length(text).cast("bigint").alias("arch_size"), stored.alias("arch_hash"), F.sha2(text, 256).alias("orig_hash"))
+    placed = A.offsets(rows, "arc", 4 << 20)
+    parts = A.parts(placed, 4 << 20, 1 << 20)
+    decoded = A.content_of(placed.drop("raw"), parts, max_chunk=4 << 20, part=1 << 20)
+    return A.integrity(decoded).select("prefix", "valid", "n", F.col("end").alias("bytes"))
 
 
-@query("crypto_round_trip", "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL", fixture=False)
+@query("crypto_round_trip", "SELECT doc_id, sha256(text) AS content_hash FROM documents", fixture=False)
 def crypto_round_trip(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     key = F.lit(bytes(range(32)))
     packed = C.encrypt(C.compress(F.col("text").cast("binary"), "GZIP"), key)
     return docs.select("doc_id", F.sha2(C.decompress(C.decrypt(packed, key), "GZIP"), 256).alias("content_hash"))
@@ -717,7 +830,7 @@ def content_hashes(spark, sf_dir):
 
 @query("names", "SELECT manifest_id, format('{}.{:05d}.cargo', manifest_id, v) AS chunk, manifest_id || '.index.cargo' AS index_file, format('{:08d}', v) AS entry, CASE WHEN v = 1 THEN 'WINDOWS' WHEN v = 2 THEN 'MAC' WHEN v = 3 THEN 'LINUX' ELSE 'UNKNOWN' END AS os FROM (SELECT manifest_id, CAST(unnest(backup_versions) AS INT) AS v FROM manifests)")
 def names(spark, sf_dir):
-    rows = X.manifests(spark).select("manifest_id", F.col("backup_versions")[0].alias("v"))
+    rows = X.chain(spark, sf_dir).select("manifest_id", F.col("backup_versions")[0].alias("v"))
     raw = F.when(F.col("v") == 1, "Windows 11").when(F.col("v") == 2, "Mac OS X").when(F.col("v") == 3, "Linux").otherwise("Solaris")
     return rows.select("manifest_id", P.chunk_name(F.col("manifest_id"), F.col("v")).alias("chunk"), P.index_name(F.col("manifest_id")).alias("index_file"), P.entry_prefix(F.col("v").cast("bigint")).alias("entry"), P.operating_system(raw).alias("os"))
 

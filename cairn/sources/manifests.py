@@ -19,6 +19,11 @@ _ENTRY = T.StructType([f for f in ARCHIVE_ENTRIES if f.name != "manifest_id"])
 DOCUMENT = T.StructType([*[f for f in MANIFESTS if f.name not in ("manifest_id",)], T.StructField("file_name_prefix", T.StringType()), T.StructField("files", T.MapType(T.StringType(), _FILE)), T.StructField("archive_entries", T.MapType(T.StringType(), _ENTRY))])
 
 
+def manifest_files(listing: DataFrame, prefix: str) -> DataFrame:
+    """Of a listing (name), the manifest files of exactly this prefix."""
+    return listing.where(F.col("name").rlike(rf"^{prefix}-\d+(-\d+)?\.manifest\.cargo$"))
+
+
 def read_documents(spark: SparkSession, folder: str, suffix: str = ".manifest.json.gz") -> DataFrame:
     """One row a manifest file; a file that is no JSON gives null columns (Q6)."""
     return spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{folder}/*{suffix}")

@@ -145,3 +145,24 @@ def test_stream_keeps_the_latest_state(spark, tmp_path):
     spark.createDataFrame([(1, "k", "/a")], "increment long, id string, path string").write.mode("append").parquet(source)
     state.start(spark.readStream.schema("increment long, id string, path string").parquet(source), str(tmp_path / "check")).awaitTermination()
     assert {(r.path, r.increment) for r in state.read().collect()} == {("/a", 1), ("/b", 0)}
+
+
+def test_a_restarted_stream_keeps_its_state(spark, tmp_path):
+    schema = "increment long, id string, path string"
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    LatestState(spark, str(tmp_path), buckets=4).apply(make((0, "i", "/a"), (0, "j", "/b")), 0)
+    again = LatestState(spark, str(tmp_path), buckets=4)
+    again.apply(make((1, "k", "/a")), 1)
+    again.apply(make((2, "never", "/a")), 1)
+    assert {tuple(r) for r in again.read().select("increment", "id", "path").collect()} == {(1, "k", "/a"), (0, "j", "/b")}
+    assert len(again.vacuum()) == 1
+    assert {tuple(r) for r in LatestState(spark, str(tmp_path), buckets=4).read().select("increment", "id", "path").collect()} == {(1, "k", "/a"), (0, "j", "/b")}
+
+
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_latest_for_each_time(spark, bound):
+    heads = spark.createDataFrame([(f"p-{s}", s) for s in (5, 10, 3 << 20, 9 << 20)], f"manifest_id string, {I.START} long")
+    times = spark.createDataFrame([(t,) for t in (1, 5, 9, 10, 3 << 20, (3 << 20) - 1, 8 << 20, 1 << 40)], "at long")
+    got = {r.at: r.manifest_id for r in I.latest_for_each(times, heads, bound).collect()}
+    assert got == {1: None, 5: "p-5", 9: "p-5", 10: "p-10", 3 << 20: f"p-{3 << 20}", (3 << 20) - 1: "p-10", 8 << 20: f"p-{3 << 20}", 1 << 40: f"p-{9 << 20}"}
+    assert I.latest_for_each(times, heads.limit(0), bound).where("manifest_id IS NOT NULL").count() == 0
