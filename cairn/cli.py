@@ -1,45 +1,55 @@
-"""Command line over increments that are kept as Parquet tables.
+"""Command line.
 
-    python -m cairn.cli backup --config job.json
+    python -m cairn.cli backup --config job.json [--force-full-backup] [--threads N]
     python -m cairn.cli restore --backup-source DIR --prefix P [--target-mapping from=to ...] [--at-epoch-seconds T] [--include-path X]
+        [--delete-missing] [--dry-run] [--permission-comparison RULE] [--key-store S --key-alias A]
     python -m cairn.cli merge --backup-source DIR --prefix P --from-epoch-seconds A --to-epoch-seconds B [--delete-obsolete]
-    python -m cairn.cli inspect-increments | inspect-content | delete ...
+    python -m cairn.cli delete --backup-source DIR --prefix P --from-epoch-seconds A
+    python -m cairn.cli inspect-increments | inspect-content ...
+    python -m cairn.cli gen-keys --key-store S [--key-alias A]
 
-Restore, merge and delete print plans; they change no file.
+The password of a key store is read from CAIRN_STORE_PASSWORD, or asked for.
 """
 
 from __future__ import annotations
 
 import argparse
-import json
-import time
+import getpass
+import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .functions.content import derived_id
+from .functions.content import PERMISSION_RULES
+from .jobs import backup, configuration, delete, known_tables, merge, restore
 from .plans import backup as B
 from .plans import increments as I
-from .plans import restore as R
-from .schemas import ARCHIVE_ENTRIES, FILES
-from .sources import filesystem, manifests
+from .sources import keys
+
+__all__ = ["configuration", "known_tables", "main", "parser", "run_backup"]
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cairn")
     tasks = p.add_subparsers(dest="task", required=True)
-    backup = tasks.add_parser("backup")
-    backup.add_argument("--config", required=True)
-    backup.add_argument("--force-full-backup", action="store_true")
+    t = tasks.add_parser("backup")
+    t.add_argument("--config", required=True)
+    t.add_argument("--force-full-backup", action="store_true")
+    t.add_argument("--threads", type=int, default=None, help="cores of a local session")
     for name in ("restore", "merge", "inspect-increments", "inspect-content", "delete"):
         t = tasks.add_parser(name)
         t.add_argument("--backup-source", required=True)
         t.add_argument("--prefix", required=True)
+        t.add_argument("--key-store")
+        t.add_argument("--key-alias", default="default")
         if name in ("restore", "inspect-content"):
             t.add_argument("--at-epoch-seconds", type=int)
         if name == "restore":
             t.add_argument("--target-mapping", action="append", default=[])
             t.add_argument("--include-path")
+            t.add_argument("--delete-missing", action="store_true")
+            t.add_argument("--dry-run", action="store_true")
+            t.add_argument("--permission-comparison", choices=PERMISSION_RULES, default="STRICT")
+            t.add_argument("--threads", type=int, default=None, help="cores of a local session")
         if name in ("merge", "delete"):
             t.add_argument("--from-epoch-seconds", type=int, required=True)
         if name == "merge":
@@ -47,89 +57,48 @@ def parser() -> argparse.ArgumentParser:
             t.add_argument("--delete-obsolete", action="store_true")
         if name == "inspect-content":
             t.add_argument("--output-file", default="backup_contents.csv")
+    t = tasks.add_parser("gen-keys")
+    t.add_argument("--key-store", required=True)
+    t.add_argument("--key-alias", default="default")
     return p
 
 
-def configuration(path: str) -> B.BackupConfiguration:
-    """The job's JSON file; unknown fields are refused."""
-    with open(path) as f:
-        raw = json.load(f)
-    raw["sources"] = tuple(B.Source(s["path"], tuple(s.get("include_patterns", ())), tuple(s.get("exclude_patterns", ()))) for s in raw.get("sources", ()))
-    return B.BackupConfiguration(**raw)
+def run_backup(spark: SparkSession, conf: B.BackupConfiguration, force_full: bool = False, now: int | None = None) -> DataFrame:
+    """(status, count) of the increment that this writes."""
+    return backup(spark, conf, force_full, now)
 
 
-def run_backup(spark: SparkSession, conf: B.BackupConfiguration, force_full: bool = False, now: int | None = None) -> DataFrame:
-    """Scan all sources, write the next increment's tables, return its changes."""
-    spark.dataSource.register(filesystem.FileTree)
-    folder, now = conf.destination_directory, now if now is not None else int(time.time())
-    held = known_tables(spark, folder, conf.file_name_prefix)
-    chain = I.as_of(held["manifests"]) if held else None
-    head = I.next_header(spark, chain, conf.file_name_prefix, now, "1.0.0", True, force_full or conf.backup_type == "FULL")
-    first = head.first()
-    parts = []
-    for s in conf.sources:
-        reader = spark.read.format("file_tree").option("root", s.path).option("hash", conf.hash_algorithm)
-        parts.append(reader.option("include", "\n".join(s.include_patterns)).option("exclude", "\n".join(s.exclude_patterns)).load())
-    scan = parts[0]
-    for p in parts[1:]:
-        scan = scan.unionByName(p)
-    scan = scan.dropDuplicates(["path"]).withColumn("manifest_id", F.lit(first.manifest_id)).withColumn("id", derived_id(F.lit(first.manifest_id), F.col("path")))
-    for c in ("status", "archive_metadata_id", "error"):
-        scan = scan.withColumn(c, F.lit(None).cast("string"))
-    scan = scan.select(*FILES.fieldNames())
-    history = entries = None
-    if first.backup_type == "INCREMENTAL":
-        order = chain.select("manifest_id", F.element_at("backup_versions", -1).cast("bigint").alias("increment"))
-        history = held["files"].join(F.broadcast(order), "manifest_id")
-        entries = held["archive_entries"].join(F.broadcast(order.select("manifest_id")), "manifest_id", "left_semi")
-        scan = scan.withColumn("increment", F.lit(first.backup_versions[0]).cast("bigint"))
-    made = B.plan(scan, history, entries, conf, first.backup_versions[0])
-    for f in manifests.MANIFESTS:
-        if f.name not in head.columns:
-            head = head.withColumn(f.name, F.lit(None).cast(f.dataType))
-    manifests.write_tables(head.select(*manifests.MANIFESTS.fieldNames()), made["files"].select(*FILES.fieldNames()), made["archives"].select(*ARCHIVE_ENTRIES.fieldNames()), folder)
-    return known_tables(spark, folder, conf.file_name_prefix)["files"].where(F.col("manifest_id") == first.manifest_id).groupBy("status").count()
-
-
-def known_tables(spark: SparkSession, folder: str, prefix: str) -> dict[str, DataFrame] | None:
-    """The prefix's tables; None before the first backup."""
-    try:
-        found = manifests.read_tables(spark, folder)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    return {**found, "manifests": I.of_prefix(found["manifests"], prefix)}
+def _password() -> str:
+    return os.environ.get("CAIRN_STORE_PASSWORD") or getpass.getpass("password of the key store: ")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
     a = parser().parse_args(args)
-    spark = spark or SparkSession.builder.getOrCreate()
+    if spark is None:
+        made = SparkSession.builder
+        spark = (made.master(f"local[{a.threads}]") if getattr(a, "threads", None) else made).getOrCreate()
+    if a.task == "gen-keys":
+        return spark.createDataFrame([(a.key_alias, keys.write_store(spark, a.key_store, a.key_alias, _password()))], "alias string, public_key string")
     if a.task == "backup":
         return run_backup(spark, configuration(a.config), a.force_full_backup)
+    scope = B.Scope(a.backup_source, a.prefix, getattr(a, "at_epoch_seconds", None), getattr(a, "from_epoch_seconds", None), getattr(a, "to_epoch_seconds", None))
+    if a.task == "merge":
+        return merge(spark, scope, a.delete_obsolete)
+    if a.task == "delete":
+        return delete(spark, scope)
+    if a.task == "restore":
+        private = keys.read_private_key(spark, a.key_store, a.key_alias, _password()) if a.key_store else None
+        targets = [tuple(x.split("=", 1)) for x in a.target_mapping]
+        return restore(spark, scope, targets, a.include_path, a.delete_missing, a.dry_run, a.permission_comparison, private)
     held = known_tables(spark, a.backup_source, a.prefix)
     if held is None:
         raise I.ChainError("no manifest found")
-    heads, files, entries = held["manifests"], held["files"], held["archive_entries"]
+    heads, files = held["manifests"], held["files"]
     if a.task == "inspect-increments":
         return I.summary(I.load_all(heads), I.chosen(files, heads)).orderBy("start")
-    if a.task == "inspect-content":
-        rows = I.chosen(files, I.latest_at(heads, a.at_epoch_seconds))
-        I.export_contents(rows, a.output_file)
-        return I.contents(rows)
-    if a.task == "delete":
-        return I.until_next_full(heads, a.from_epoch_seconds)
-    if a.task == "merge":
-        chosen = I.merge_selection(heads, a.from_epoch_seconds, a.to_epoch_seconds)
-        gone = heads.where(F.col(I.START).between(a.from_epoch_seconds, a.to_epoch_seconds)).select("manifest_id", F.lit("delete").alias("action"))
-        header = I.merged(chosen, files, entries)["header"].select("manifest_id", F.lit("create").alias("action"))
-        return header.unionByName(gone) if a.delete_obsolete else header
-    chain = I.checked_chain(I.as_of(heads, a.at_epoch_seconds))
-    last = I.latest_at(chain)
-    targets = spark.createDataFrame([tuple(x.split("=", 1)) for x in a.target_mapping], "backup_path string, restore_path string")
-    rows = I.chosen(files, last)
-    changes = rows.select("path", F.lit("DELETED").alias("change"))
-    return R.ordered(R.plan(rows, I.chosen(entries, last), targets, changes, include=a.include_path))
+    rows = I.chosen(files, I.latest_at(heads, a.at_epoch_seconds))
+    I.export_contents(rows, a.output_file)
+    return I.contents(rows)
 
 
 if __name__ == "__main__":

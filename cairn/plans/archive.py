@@ -211,13 +211,22 @@ def checked(decoded: DataFrame, algorithm: str = "SHA256") -> DataFrame:
     return decoded.withColumn("content", F.when(F.coalesce(good, F.lit(False)), F.col("content")).otherwise(said))
 
 
-def pack(entries: DataFrame, prefix: str, key: bytes | None = None, compression: str = "NONE", algorithm: str = "SHA256") -> DataFrame:
-    """Entries (ord, path, content) as archived rows: digest, compress, encrypt, digest again.
+def directories(locators: DataFrame) -> DataFrame:
+    """(path): the directories that entries at these paths (path) need, each once."""
+    return locators.select(F.explode(P.ancestors(F.col("path"))).alias("path")).where("path <> '/'").distinct()
 
-    AES-GCM draws a new IV whenever it runs: write the result before using it twice.
+
+def pack(entries: DataFrame, prefix: str, key: bytes | F.Column | None = None, compression: str = "NONE", algorithm: str = "SHA256") -> DataFrame:
+    """Entries (ord, path, content, ...) as archived rows: digest, compress, encrypt, digest again.
+
+    key: one for all, or a column (null: not encrypted). AES-GCM draws a new IV whenever it runs: write the result before
+    using it twice.
     """
-    rows = entries.select(F.lit(prefix).alias("prefix"), "ord", "path", digest(F.col("content"), algorithm).alias("orig_hash"), F.octet_length("content").cast("bigint").alias("orig_size"), compress(F.col("content"), compression).alias("raw"))
-    rows = rows.withColumn("raw", encrypt(F.col("raw"), F.lit(key)) if key else F.col("raw"))
+    key_column = F.lit(key) if isinstance(key, (bytes, bytearray)) else key
+    rest = [c for c in entries.columns if c not in ("ord", "path", "content", "prefix")]
+    rows = entries.select(F.lit(prefix).alias("prefix"), "ord", "path", *rest, digest(F.col("content"), algorithm).alias("orig_hash"), F.octet_length("content").cast("bigint").alias("orig_size"), compress(F.col("content"), compression).alias("raw"))
+    if key_column is not None:
+        rows = rows.withColumn("raw", F.when(key_column.isNull(), F.col("raw")).otherwise(encrypt(F.col("raw"), key_column)))
     return rows.withColumn("arch_hash", digest(F.col("raw"), algorithm)).withColumn("arch_size", F.octet_length("raw").cast("bigint"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -36,8 +38,6 @@ class BackupConfiguration:
     sources: tuple[Source, ...] = field(default=(), compare=False)
 
     def __post_init__(self) -> None:
-        import re
-
         if not re.fullmatch(r"[a-zA-Z0-9_-]+", self.file_name_prefix):
             raise ValueError("the prefix has letters, digits, underscores and hyphens only")
         for value, known in ((self.hash_algorithm, HASHES), (self.compression, COMPRESSIONS), (self.duplicate_strategy, DUPLICATES), (self.backup_type, ("FULL", "INCREMENTAL"))):
@@ -72,6 +72,26 @@ def plan(scan: DataFrame, history: DataFrame | None, entries: DataFrame | None,
     return {"files": stored_files.unionByName(rest), "archives": stored.unionByName(copied.select(*stored.columns)), "changes": changes}
 
 
+@dataclass(frozen=True)
+class Scope:
+    """What a task reads: a folder, a prefix, and the times that it names; checked when it is made."""
+
+    folder: str
+    prefix: str
+    at: int | None = None
+    first: int | None = None
+    last: int | None = None
+
+    def __post_init__(self) -> None:
+        if not re.fullmatch(r"[a-zA-Z0-9_-]+", self.prefix):
+            raise ValueError("the prefix has letters, digits, underscores and hyphens only")
+        for value in (self.at, self.first, self.last):
+            if value is not None and not 0 < value <= time.time():
+                raise ValueError(f"{value} is not a past or present time")
+        if self.first is not None and self.last is not None and self.last <= self.first:
+            raise ValueError("the end of the range must be after its start")
+
+
 def permission_rule(name: str) -> str:
     if name not in PERMISSION_RULES:
         raise ValueError(f"{name} is none of {PERMISSION_RULES}")

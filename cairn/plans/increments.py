@@ -31,10 +31,13 @@ def of_prefix(manifests: DataFrame, prefix: str) -> DataFrame:
 
 
 def as_of(manifests: DataFrame, at: int | None = None) -> DataFrame:
-    """Increments with start <= at since the last FULL one; all if none is FULL."""
+    """Increments with start <= at since the last FULL one; all if none is FULL.
+
+    A merged increment starts when its last one did, and stands for it.
+    """
     rows = manifests if at is None else manifests.where(F.col(START) <= at)
     first = rows.where("backup_type = 'FULL'").agg(F.max(START)).first()[0]
-    return rows if first is None else rows.where(F.col(START) >= first)
+    return rows if first is None else rows.where((F.col(START) > first) | ((F.col(START) == first) & (F.col("backup_type") == "FULL")))
 
 
 def checked_chain(manifests: DataFrame) -> DataFrame:

@@ -85,9 +85,10 @@ def to_documents(manifests: DataFrame, files: DataFrame, entries: DataFrame) ->
 
 def write_tables(manifests: DataFrame, files: DataFrame, entries: DataFrame, folder: str) -> None:
     """B1: the native form: Parquet by manifest, so that a chain reads its own partitions only."""
-    manifests.write.mode("append").parquet(f"{folder}/manifests")
     files.write.mode("append").partitionBy("manifest_id").parquet(f"{folder}/files")
     entries.write.mode("append").partitionBy("manifest_id").parquet(f"{folder}/archive_entries")
+    # last: until it is there, nobody sees the rest
+    manifests.write.mode("append").partitionBy("manifest_id").parquet(f"{folder}/manifests")
 
 
 def read_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
