@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCRATCH_KEY = "spark.checkpoint.dir"
+from ..scratch import scratch
+
+_KEPT: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,24 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="cairn-scratch-")
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process's own where it is unset (tests)."""
-    return (spark.conf.get(SCRATCH_KEY, None) or _own_folder()).rstrip("/")
-
-
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Results are read from such tables after an operator has returned, so they stay until `sweep`, or until this process ends
+    where the folder is mounted.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/cairn-{tag}-{uuid.uuid4().hex}"
+    _KEPT.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Remove all tables that this process has kept; results that read them must be done."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_KEPT)
+    while _KEPT:
+        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+@atexit.register
+def _sweep_mounted() -> None:
+    for path in _KEPT:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have yet."""
     name = base
