@@ -203,18 +203,27 @@ def _tail(gram: Column, size: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << 8 * size) - 1))
 
 
-def strings(full: DataFrame, size: int) -> DataFrame:
-    """(node, n) of all strings of `size` bytes, from the grams of ORDER + 1; those of at most two bytes are few."""
-    found = full.groupBy(_tail(F.col("gram"), size).alias("node")).agg(F.sum("n").alias("n"))
-    return F.broadcast(found) if size <= 2 else found
+def levels(full: DataFrame) -> dict[int, DataFrame]:
+    """By size, (node, n) of all strings of so many bytes; each is summed from the next longer one, and written."""
+    now = full.select(F.col("gram").alias("node"), "n")
+    out = {ORDER + 1: now}
+    for size in range(ORDER, 0, -1):
+        now = keep(now.groupBy(_tail(F.col("node"), size).alias("node")).agg(F.sum("n").alias("n")), f"strings{size}")
+        out[size] = now
+    return out
+
+
+def _few(df: DataFrame, size: int) -> DataFrame:
+    """Strings of at most two bytes are 65,536 at most."""
+    return F.broadcast(df) if size <= 2 else df
 
 
-def contexts(full: DataFrame, size: int) -> DataFrame:
+def contexts(strings: dict[int, DataFrame], size: int) -> DataFrame:
     """(context, total, distinct, shorter) of all contexts of `size` bytes: their symbols' count, their number, and their count in the next shorter context."""
-    below = strings(full, size).select(F.col("node").alias("below"), F.col("n").alias("own"))
-    nodes = strings(full, size + 1).join(below, _tail(F.col("node"), size) == F.col("below"))
+    below = _few(strings[size].select(F.col("node").alias("below"), F.col("n").alias("own")), size)
+    nodes = strings[size + 1].join(below, _tail(F.col("node"), size) == F.col("below"))
     found = nodes.groupBy(F.shiftright("node", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("own").alias("shorter"))
-    return F.broadcast(found) if size <= 2 else found
+    return _few(found, size)
 
 
 def seen_log10(full: DataFrame) -> DataFrame:
@@ -225,16 +234,17 @@ def seen_log10(full: DataFrame) -> DataFrame:
 
 def unseen_log10(asked: DataFrame, full: DataFrame) -> DataFrame:
     """(gram, value) of distinct grams that no training text has; the steps of Trie.log10 as joins."""
-    total, distinct = strings(full, 1).agg(F.sum("n"), F.count("*")).first()
+    strings = levels(full)
+    total, distinct = strings[1].agg(F.sum("n"), F.count("*")).first()
     none = F.lit(0).cast("bigint")
     now = asked.select("gram", F.lit(0.0).alias("value"), F.lit(False).alias("done"), none.alias("gone_d"), none.alias("gone_n"))
     for k in range(ORDER, -1, -1):
         if k:
-            now = now.join(contexts(full, k), _tail(F.shiftright("gram", 8), k) == F.col("context"), "left")
+            now = now.join(contexts(strings, k), _tail(F.shiftright("gram", 8), k) == F.col("context"), "left")
         else:
             now = now.withColumns({"total": F.lit(total), "distinct": F.lit(distinct), "shorter": none})
         # the whole gram is unseen
-        now = now.join(strings(full, k + 1), _tail(F.col("gram"), k + 1) == F.col("node"), "left") if k < ORDER else now.withColumn("n", F.lit(None).cast("bigint"))
+        now = now.join(_few(strings[k + 1], k + 1), _tail(F.col("gram"), k + 1) == F.col("node"), "left") if k < ORDER else now.withColumn("n", F.lit(None).cast("bigint"))
         hit, known = ~F.col("done") & F.col("n").isNotNull(), ~F.col("done") & F.col("total").isNotNull()
         room, escapes = F.col("total") - F.col("gone_n"), (F.col("distinct") - F.col("gone_d")) / 2
         paid = F.when(hit, F.log10((F.col("n") - 0.5) / room)).when(known & (escapes > 0), F.log10(escapes / room)).otherwise(0.0)
