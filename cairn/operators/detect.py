@@ -86,8 +86,8 @@ def previous_versions(current: DataFrame, history: DataFrame, by: Detector, orde
     with equal key and unchanged content: that of the same path, else the lowest path. 3. The newest version of the
     same path, or nothing. Directories take 1 and 3 only.
 
-    Candidates of step 2 are reduced to the lowest path of each group of equal content and increment before the
-    join, and to exact paths in a join of their own, so a frequent key meets one row for each increment.
+    Candidates of step 2 are reduced before the join to one for each group of equal content: the lowest path of the newest
+    increment that has it, since no older one can win; exact paths have a join of their own. So a frequent key meets one row.
     """
     cur, old = prefixed(current, "cur_"), history
     latest = prefixed(latest_by_path(old, order), "prev_")
@@ -96,7 +96,7 @@ def previous_versions(current: DataFrame, history: DataFrame, by: Detector, orde
     stage1 = same_path.withColumn("__stage", F.when(unchanged, 1).otherwise(3))
     name = F.substring_index("path", "/", -1)
     group = [F.col(c) for c in by.same] + ([] if by.hashing else [name.alias("__name")])
-    lowest = old.where(F.col("file_type").isin("REGULAR_FILE", "SYMBOLIC_LINK")).groupBy(order, *group).agg(F.min_by(F.struct(*old.columns), F.struct("path", "id")).alias("r")).select("r.*")
+    lowest = old.where(F.col("file_type").isin("REGULAR_FILE", "SYMBOLIC_LINK")).groupBy(*group).agg(F.min_by(F.struct(*old.columns), F.struct((-F.col(order)).alias("o"), "path", "id")).alias("r")).select("r.*")
     content = cur.where(is_content(F.col("cur_file_type")) & F.col(f"cur_{by.key}").isNotNull())
     # a null primary key has no candidate; all else is null-safe
     keys = [F.col(f"cur_{by.key}") == F.col(f"prev_{by.key}"), *[F.col(f"cur_{c}").eqNullSafe(F.col(f"prev_{c}")) for c in by.same if c != by.key]]
