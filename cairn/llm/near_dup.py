@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, fresh, keep
-from .simhash import BLOCK, SEED, _keyed, exact_keys, left_keys, right_keys
+from .simhash import BLOCK, SEED, _keyed, exact_keys, left_keys, right_keys, spare_parts
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Keys from min-hashes, and min-hashes in each.
@@ -345,7 +345,8 @@ def row_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
     # equal word sequences are one node from the start, so a group of exact copies is one row in what follows
     firsts = keep(made.groupBy("same").agg(F.min("row").alias("node")), "firsts")
     nodes = keep(made.join(firsts.select("node"), F.col("row") == F.col("node")).select("node", "doc", "mark", "size", "fps", "sign", "bands", F.col("node").alias("root")), "nodes")
-    keys = _keyed(nodes, exact_keys).unionByName(nodes.select(F.explode("bands").alias("key"), "node"))
+    spare = spare_parts(nodes.count())
+    keys = _keyed(nodes, exact_keys, spare=spare).unionByName(nodes.select(F.explode("bands").alias("key"), "node"))
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     held = keep(keys.join(counts, "key"), "held")
 
@@ -366,10 +367,10 @@ def row_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
     parts = _blocked(held.join(mixed, "key").join(signs, "node"), "members")
     units = parts.select("key", "block", F.col("members").alias("x")).join(parts.select("key", F.col("block").alias("other"), F.col("members").alias("y")), "key").where("block <= other")
     needed = _crossing(units.select(F.xxhash64("key", "block", "other").alias("unit"), "x", "y"), limit)
-    homes = _keyed(known, right_keys, "root")
+    homes = _keyed(known, right_keys, "root", spare)
     buckets = homes.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).drop("n")
     # a probe whose bucket holds its own group only cannot add a link between groups
-    probes = _keyed(known, left_keys, "root").alias("p").join(buckets.alias("h"), (F.col("p.key") == F.col("h.key")) & ~((F.col("h.low") == F.col("h.high")) & (F.col("h.low") == F.col("p.root")))).select("p.key", "node", "blocks")
+    probes = _keyed(known, left_keys, "root", spare).alias("p").join(buckets.alias("h"), (F.col("p.key") == F.col("h.key")) & ~((F.col("h.low") == F.col("h.high")) & (F.col("h.low") == F.col("p.root")))).select("p.key", "node", "blocks")
     probes = keep(probes, "probes")
     asked = _blocked(probes.join(signs, "node"), "y").select("key", F.col("block").alias("other"), "y")
     wanted = homes.select("key", "node").join(probes.select("key", "blocks").distinct(), "key").join(signs, "node")

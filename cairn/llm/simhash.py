@@ -11,11 +11,12 @@ nearest codeword (distance 3 or less), and up to six probes, the codewords withi
 each one's home is among the other's probes. So one text's (probe, home) of the two segments meets the other's (home,
 probe) in a key of one's home and the other's home, some five keys each; with a third of the last segment, one of which
 has no error, they miss no such pair. Keys have some 30 bits, so that candidates stay few; they are verified by
-counting differing bits.
+counting differing bits. Beyond WIDER fingerprints the keys take two parts of one more (36 and 34 bits), three
+and two times as many keys.
 
 Buckets are cut into blocks of bounded size and verified block by block; a pair of blocks gives a spanning
-forest of its links, never all of its pairs, so a group of copies costs as many links as it has members. Before the
-second case, fingerprints that the first has joined are skipped where a bucket holds nothing else.
+forest of its links, never all of its pairs, so a group of copies costs as many links as it has members. Blocks are verified
+against themselves first; pairs of blocks, and later the second case, are left out where a bucket holds one group only.
 
 Defined results: null text is empty; a text without words has fingerprint zero and is linked like any other;
 fewer words than a shingle are one shingle; equal texts have equal fingerprints; rows with a repeated id are one
@@ -43,6 +44,8 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members of a bucket that are compared in one piece.
 BLOCK = 1024
+#: Fingerprints beyond which keys have more bits.
+WIDER = 1 << 27
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
 
@@ -116,48 +119,73 @@ def _parts(value: np.ndarray, size: int, n: int) -> list[np.ndarray]:
     return [(value >> a) & ((1 << (b - a)) - 1) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def exact_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the places of their fingerprints: each segment, with each fifth of the rest: four errors leave one fifth as it is."""
+def _chosen(parts: list[np.ndarray], sizes: list[int], spare: int) -> Iterator[np.ndarray]:
+    """Every choice of `spare` parts, put together."""
+    for own in combinations(range(len(parts)), spare):
+        out = np.zeros_like(parts[0])
+        for i in own:
+            out = (out << sizes[i]) | parts[i]
+        yield out
+
+
+def _sizes(size: int, n: int) -> list[int]:
+    ends = [round(i * size / n) for i in range(n + 1)]
+    return [b - a for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def exact_keys(fps: np.ndarray, spare: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the places of their fingerprints: each segment, with each choice of `spare` of BITS + spare parts of the rest.
+
+    Four errors leave `spare` parts as they are.
+    """
     s, keys = _segments(fps), []
     for k in range(3):
         (b, nb), (c, nc) = ((s[i], SEGMENTS[i][1]) for i in range(3) if i != k)
-        for j, part in enumerate(_parts((b << nc) | c, nb + nc, BITS + 1)):
-            keys.append(((k * 8 + j) << 40) | (s[k] << 16) | part)
+        n = BITS + spare
+        for part in _chosen(_parts((b << nc) | c, nb + nc, n), _sizes(nb + nc, n), spare):
+            keys.append((len(keys) << 40) | (s[k] << 16) | part)
     return np.concatenate(keys), np.tile(np.arange(len(fps)), len(keys))
 
 
-def _pairs(s: list[np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(number, a, b, part): each pair of segments with each third of the last: two errors leave one third as it is."""
-    for k, (a, b) in enumerate(combinations(range(3), 2)):
-        c = 3 - a - b
-        for j, part in enumerate(_parts(s[c], SEGMENTS[c][1], 3)):
-            yield k * 8 + j, a, b, part
+def _pairs(s: list[np.ndarray], spare: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(number, a, b, part): each pair of segments with each choice of `spare` of 2 + spare parts of the last: two errors leave them as they are."""
+    number = 0
+    for a, b in combinations(range(3), 2):
+        c, n = 3 - a - b, 2 + spare
+        for part in _chosen(_parts(s[c], SEGMENTS[c][1], n), _sizes(SEGMENTS[c][1], n), spare):
+            yield number, a, b, part
+            number += 1
 
 
-def _fuzzy(fps: np.ndarray, probed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places: for each pair of segments and third of the last one, the probes of one of the pair with the home of the other."""
+def _fuzzy(fps: np.ndarray, probed: int, spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places: for each pair of segments and parts of the last one, the probes of one of the pair with the home of the other."""
     s = _segments(fps)
     keys, who = [], []
-    for k, *pair, part in _pairs(s):
+    for k, *pair, part in _pairs(s, spare):
         _, probes, count = _decoded(s[pair[probed]])
         home = _decoded(s[pair[1 - probed]])[0]
-        every = (k << 40) | (probes << (20 if probed == 0 else 8)) | (home << (8 if probed == 0 else 20))[:, None] | part[:, None]
+        every = (k << 40) | (probes << (28 if probed == 0 else 16)) | (home << (16 if probed == 0 else 28))[:, None] | part[:, None]
         keys.append(every[np.arange(6)[None, :] < count[:, None]])
         who.append(np.repeat(np.arange(len(fps)), count))
     return np.concatenate(keys), np.concatenate(who)
 
 
-def left_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def left_keys(fps: np.ndarray, spare: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Keys and places: probes of a pair's first segment with the home of its second."""
-    return _fuzzy(fps, 0)
+    return _fuzzy(fps, 0, spare)
 
 
-def right_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def right_keys(fps: np.ndarray, spare: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Keys and places: the home of a pair's first segment with probes of its second."""
-    return _fuzzy(fps, 1)
+    return _fuzzy(fps, 1, spare)
+
+
+def spare_parts(n: int) -> int:
+    """Parts in a key for n fingerprints. Any number finds the same links: more give more keys, of more bits, to meet fewer strangers."""
+    return 1 if n <= WIDER else 2
 
 
-def _keyed(nodes: DataFrame, make, extra: str | None = None) -> DataFrame:
+def _keyed(nodes: DataFrame, make, extra: str | None = None, spare: int = 1) -> DataFrame:
     """(key, node) and one further column of nodes (node, fps: a fingerprint of each kind, ...)."""
     rows = nodes.select("node", F.posexplode("fps").alias("kind", "fp"), *([extra] if extra else []))
 
@@ -166,7 +194,7 @@ def _keyed(nodes: DataFrame, make, extra: str | None = None) -> DataFrame:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 node, kind, fp = (np.ascontiguousarray(part.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
-                keys, who = make(fp)
+                keys, who = make(fp, spare)
                 columns = [pa.array(keys | kind.astype(np.int64)[who] << 56), pa.array(node[who])]
                 if extra:
                     columns.append(part.column(3).take(pa.array(who)))
@@ -227,9 +255,10 @@ def verify(units: DataFrame, limit: int) -> DataFrame:
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
-def _blocked(keyed: DataFrame, blocks: str, name: str) -> DataFrame:
+def _blocked(keyed: DataFrame, name: str) -> DataFrame:
     """(key, block, members) with some BLOCK members each at most on the mean; keyed has key, node, sign and blocks."""
-    block = F.when(F.col(blocks) == 1, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("node"), F.col(blocks)))
+    # another block in another bucket, so that what one keeps apart the next brings together
+    block = F.when(F.col("blocks") == 1, F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
     return keyed.withColumn("block", block).groupBy("key", "block").agg(F.collect_list(F.struct("node", "sign")).alias(name))
 
 
@@ -239,23 +268,32 @@ def link_components(nodes: DataFrame, limit: int = BITS) -> DataFrame:
     Two nodes are candidates if fingerprints of one kind differ in at most BITS bits, and linked if their signatures
     (arrays of words) differ in at most `limit` bits.
     """
+    spare = spare_parts(nodes.count())
     signs = nodes.select("node", "sign")
-    exact = _keyed(nodes, exact_keys)
-    held = exact.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    parts = _blocked(exact.join(held, "key").join(signs, "node"), "blocks", "members")
-    units = parts.select("key", "block", F.col("members").alias("x")).join(parts.select("key", F.col("block").alias("other"), F.col("members").alias("y")), "key").where("block <= other")
-    first = keep(verify(units.select("x", "y"), limit), "exactlinks")
+    exact = _keyed(nodes, exact_keys, spare=spare)
+    held = exact.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    held = keep(exact.join(held, "key"), "held")
+    parts = _blocked(held.join(signs, "node"), "x")
+    first = keep(verify(parts.select("x", F.col("x").alias("y")), limit), "exactlinks")
+    many = held.where("blocks > 1")
+    if not many.isEmpty():
+        roots = components(first).withColumnRenamed("node", "of")
+        own = many.join(roots, F.col("node") == F.col("of"), "left").select("key", F.coalesce("root", "node").alias("root"))
+        mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        parts = _blocked(many.join(mixed, "key").join(signs, "node"), "x")
+        units = parts.join(parts.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key").where("block < other")
+        first = keep(first.unionByName(verify(units.select("x", "y"), limit)), "exactlinks")
     roots = components(first).withColumnRenamed("node", "of")
     known = keep(nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fps", "sign", F.coalesce("root", "node").alias("root")), "roots")
     signs = known.select("node", "sign")
-    homes = _keyed(known, right_keys, "root")
+    homes = _keyed(known, right_keys, "root", spare)
     buckets = homes.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).drop("n")
     # a probe whose bucket holds its own group only cannot add a link between groups
-    probes = _keyed(known, left_keys, "root").alias("p").join(buckets.alias("h"), (F.col("p.key") == F.col("h.key")) & ~((F.col("h.low") == F.col("h.high")) & (F.col("h.low") == F.col("p.root")))).select("p.key", "node", "blocks")
+    probes = _keyed(known, left_keys, "root", spare).alias("p").join(buckets.alias("h"), (F.col("p.key") == F.col("h.key")) & ~((F.col("h.low") == F.col("h.high")) & (F.col("h.low") == F.col("p.root")))).select("p.key", "node", "blocks")
     probes = keep(probes, "probes")
-    asked = _blocked(probes.join(signs, "node"), "blocks", "y").select("key", "y")
+    asked = _blocked(probes.join(signs, "node"), "y").select("key", "y")
     wanted = homes.select("key", "node").join(probes.select("key", "blocks").distinct(), "key").join(signs, "node")
-    units = _blocked(wanted, "blocks", "x").select("key", "x").join(asked, "key").select("x", "y")
+    units = _blocked(wanted, "x").select("key", "x").join(asked, "key").select("x", "y")
     ends = known.select("node", "root")
     second = verify(units, limit).join(ends.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
     between = second.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
