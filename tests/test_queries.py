@@ -3,6 +3,7 @@
 import pytest
 from conftest import DATA
 
+import cairn.store_queries  # noqa: F401
 import cairn.tree_queries  # noqa: F401
 from cairn.queries import ORACLES, QUERIES
 
