@@ -53,7 +53,7 @@ PIECE = 1 << 21
 #: Bits of the bitmap of wanted texts: 32 MB at most.
 WANTED_LOG = 28
 #: Words whose hashes a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
