@@ -109,16 +109,27 @@ def _detours() -> np.ndarray:
 
 def sketch(hashes: np.ndarray) -> list[int]:
     """SKETCH bits of one-permutation min-hashing: each bin's least hash gives a bit; two sets' bits agree with probability (1 + J) / 2."""
-    ordered = np.unique(hashes)
-    bins, first = np.unique(ordered >> np.uint64(64 - SKETCH_LOG), return_index=True)
-    bins = bins.astype(np.int64)
+    ordered = np.sort(hashes)
+    own = (ordered >> np.uint64(64 - SKETCH_LOG)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else own
+    bins = own[first]
     held, full = np.zeros(SKETCH, np.uint64), np.zeros(SKETCH, bool)
     held[bins] = ordered[first]
     full[bins] = True
     if len(bins) and not full.all():
         empty = np.flatnonzero(~full)
-        ways = _detours()[empty]
-        held[empty] = held[ways[np.arange(len(empty)), full[ways].argmax(1)]]
+        if len(bins) < SKETCH // 8:
+            ways = _detours()[empty]
+            held[empty] = held[ways[np.arange(len(empty)), full[ways].argmax(1)]]
+        else:
+            # the same step by step: most find a full bin after a few
+            for step in range(SKETCH):
+                way = _detours()[empty, step]
+                good = full[way]
+                held[empty[good]] = held[way[good]]
+                empty = empty[~good]
+                if not len(empty):
+                    break
     # the bin takes part, so that the bits of a borrowed hash are bits of their own
     bits = (_mixed(held ^ (np.arange(SKETCH, dtype=np.uint64) << np.uint64(32)), 9) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view("<i8").tolist()
