@@ -167,7 +167,7 @@ def backup(spark: SparkSession, conf: B.BackupConfiguration, force_full: bool =
         files = staging.keep(made["files"].select(*FILES.fieldNames()), "files")
         stored = staging.keep(made["archives"].select(*ARCHIVE_ENTRIES.fieldNames()), "entries")
         # one member of each group of this increment's own entries gives the bytes
-        fresh = stored.where(F.col("archive_location.backup_increment") == version).select(F.col("id").alias("entry"), F.col("archive_location.entry_name").alias("entry_name"))
+        fresh = stored.where(F.col("archive_location.backup_increment") == version).select(F.col("id").alias("entry"), F.col("archive_location.entry_name").alias("entry_name")).distinct()
         source = files.where("archive_metadata_id IS NOT NULL").groupBy(F.col("archive_metadata_id").alias("entry")).agg(F.min(F.struct("path", "file_type", "id")).alias("f"))
         wanted = fresh.join(source, "entry").select("entry", "entry_name", F.col("f.path").alias("source"), F.col("f.file_type").alias("type"))
         wanted = archive_files.numbered(staging.keep(wanted, "wanted"), F.col("source"), 2)

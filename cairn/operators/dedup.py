@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.content import derived_id, duplicate_key, is_content
 
 
+#: Files of a row of archive entries; an entry that more files share is several rows, equal but for `files`.
+MEMBERS = 1 << 16
+
+
 def store_groups(files: DataFrame, strategy: str, algorithm: str, increment: int) -> tuple[DataFrame, DataFrame]:
     """(entries, files): one archive entry for each group of duplicates, and files with the entry's id.
 
-    The group's copy is the member with the lowest path. A member array is part of the entry's schema; hot groups
-    are counted and joined by key, and only `files` is gathered, as ids.
+    The group's copy is the member with the lowest path. A group is counted first; one of over MEMBERS files is dealt into
+    rows of about so many, so that no row and no task holds a whole hot group.
     """
     keyed = files.withColumn("group_key", F.when(is_content(F.col("file_type")), duplicate_key(strategy, algorithm)))
     rows = keyed.where(F.col("group_key").isNotNull())
-    groups = rows.groupBy("group_key").agg(F.min(F.struct("path", "id", "original_hash", "manifest_id")).alias("f"), F.array_sort(F.collect_list("id")).alias("files"))
-    entry = groups.select("group_key", F.col("f.manifest_id").alias("manifest_id"), derived_id(F.lit("entry"), F.col("f.id")).alias("id"), F.struct(F.lit(increment).alias("backup_increment"), derived_id(F.lit("name"), F.col("f.id")).alias("entry_name")).alias("archive_location"), F.col("f.original_hash").alias("archived_hash"), F.col("f.original_hash").alias("original_hash"), "files")
-    linked = keyed.join(entry.select("group_key", F.col("id").alias("__entry")), "group_key", "left").withColumn("archive_metadata_id", F.coalesce("__entry", "archive_metadata_id")).drop("__entry", "group_key")
-    return entry.drop("group_key"), linked
+    groups = rows.groupBy("group_key").agg(F.min(F.struct("path", "id", "original_hash", "manifest_id")).alias("f"), F.count("*").alias("n"))
+    hot = groups.where(F.col("n") > MEMBERS).select("group_key", F.ceil(F.col("n") / MEMBERS).alias("__rows"))
+    dealt = rows.select("group_key", "id").join(hot, "group_key", "left").withColumn("__row", F.coalesce(F.pmod(F.xxhash64("id"), F.col("__rows")), F.lit(0)))
+    members = dealt.groupBy("group_key", "__row").agg(F.array_sort(F.collect_list("id")).alias("files"))
+    named = groups.select("group_key", "f", derived_id(F.lit("entry"), F.col("f.id")).alias("id"))
+    entry = members.join(named, "group_key").select(F.col("f.manifest_id").alias("manifest_id"), "id", F.struct(F.lit(increment).alias("backup_increment"), derived_id(F.lit("name"), F.col("f.id")).alias("entry_name")).alias("archive_location"), F.col("f.original_hash").alias("archived_hash"), F.col("f.original_hash").alias("original_hash"), "files")
+    linked = keyed.join(named.select("group_key", F.col("id").alias("__entry")), "group_key", "left").withColumn("archive_metadata_id", F.coalesce("__entry", "archive_metadata_id")).drop("__entry", "group_key")
+    return entry, linked
 
 
 def stored_copies(files: DataFrame, strategy: str, algorithm: str) -> DataFrame:

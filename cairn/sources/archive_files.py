@@ -179,6 +179,9 @@ def check_chunks(spark, folder: str, footers: DataFrame) -> None:
 def write_document(manifest: DataFrame, files: DataFrame, entries: DataFrame, target: str, staging: str) -> None:
     """B1, B2: the JSON document of one manifest as a gzip file; files by path and entries by id, written by all machines."""
     head = manifest.withColumnRenamed("manifest_id", "file_name_prefix")
+    # in the document an entry is one value, however many rows of the table it has
+    rest = [c for c in entries.columns if c not in ("id", "files")]
+    entries = entries.groupBy("id").agg(F.min(F.struct(*rest)).alias("r"), F.array_sort(F.flatten(F.collect_list("files"))).alias("files")).select("id", "r.*", "files")
     text = head.select(F.to_json(F.struct(*head.columns), {"ignoreNullFields": "true"}).alias("t")).first().t
     parts = []
     for step, (rows, order) in enumerate(((files.withColumn("path", P.to_uri(F.col("path"))), ["path", "id"]), (entries, ["id"]))):

@@ -77,6 +77,8 @@ def to_documents(manifests: DataFrame, files: DataFrame, entries: DataFrame) ->
     """
     f = files.withColumn("path", P.to_uri(F.col("path")))
     fs = f.groupBy("manifest_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("path", F.struct(*[c for c in FILES.fieldNames() if c != "manifest_id"]).alias("row")))), lambda x: F.struct(x["row"]["id"], x["row"]))).alias("files"))
+    rest = [c for c in ARCHIVE_ENTRIES.fieldNames() if c not in ("manifest_id", "id", "files")]
+    entries = entries.groupBy("manifest_id", "id").agg(F.min(F.struct(*rest)).alias("r"), F.array_sort(F.flatten(F.collect_list("files"))).alias("files")).select("manifest_id", "id", "r.*", "files").select(*ARCHIVE_ENTRIES.fieldNames())
     es = entries.groupBy("manifest_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct(*[c for c in ARCHIVE_ENTRIES.fieldNames() if c != "manifest_id"]).alias("row"))))).alias("archive_entries"))
     head = manifests.withColumn("file_name_prefix", F.col("manifest_id"))
     row = head.join(fs, "manifest_id", "left").join(es, "manifest_id", "left")

@@ -223,3 +223,20 @@ def test_content_of_files(spark, tmp_path):
     rows = spark.createDataFrame([(str(tmp_path / "f"), "REGULAR_FILE"), (str(tmp_path / "l"), "SYMBOLIC_LINK"), (str(tmp_path), "DIRECTORY")], "path string, file_type string")
     assert [bytes(r.content) for r in archive_files.with_bytes(rows, "path", "file_type").collect()] == [b"abc", b"/x/y", b""]
     assert filesystem.parse(str(tmp_path / "l"))[10] == "SYMBOLIC_LINK"
+
+
+def test_entries_of_very_many_files_are_several_rows(spark, tmp_path, source, monkeypatch):
+    from cairn.operators import dedup
+
+    monkeypatch.setattr(dedup, "MEMBERS", 2)
+    conf = job(source, tmp_path)
+    jobs.backup(spark, conf, now=1000)
+    held = jobs.reload(spark, conf.destination_directory, "set-1000")
+    rows = held["archive_entries"].select("id", F.explode("files").alias("file"))
+    assert held["archive_entries"].count() > held["archive_entries"].select("id").distinct().count()
+    links = held["files"].where("archive_metadata_id IS NOT NULL").select(F.col("archive_metadata_id").alias("id"), F.col("id").alias("file"))
+    assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in links.collect()} and rows.count() == links.count()
+    document = json.load(gzip.open(f"{conf.destination_directory}/.history/set-1000.manifest.json.gz"))
+    assert sum(len(e["files"]) for e in document["archive_entries"].values()) == links.count()
+    jobs.restore(spark, B.Scope(conf.destination_directory, "set"), [(str(source), str(tmp_path / "back"))])
+    assert {k: v for k, v in tree_of(tmp_path / "back").items() if k != "inside"} == {k: v for k, v in tree_of(source).items() if k != "inside"}
