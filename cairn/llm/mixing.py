@@ -155,14 +155,18 @@ def draw(doc: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, doc: str = "doc_id", targets: dict[str, dict[str | None, float]] | None = None, fraction: float = FRACTION, sweeps: int = MOST_SWEEPS, bound: int = CELLS_ON_DRIVER, celled: bool = False) -> DataFrame:
+def mix(docs: DataFrame, doc: str = "doc_id", targets: dict[str, dict[str | None, float]] | None = None, fraction: float = FRACTION, sweeps: int = MOST_SWEEPS, bound: int = CELLS_ON_DRIVER, celled: bool = False, topic: str | None = None) -> DataFrame:
     """docs with n_tokens, topic, weight (the cell's share of the target tokens), prob and kept.
 
     targets: by dimension, value to weight; dimensions without one take tempered shares. celled: docs already has
-    n_tokens and topic.
+    n_tokens and topic. topic: a column of docs that names the topic, in place of the rules of TOPICS.
     """
     docs = docs.drop("weight", "prob", "kept")
-    docs = docs if celled else with_cells(docs)
+    if topic is not None and not celled:
+        held = fresh(docs, "own_topic")
+        docs = with_cells(docs.withColumn(held, F.col(topic))).withColumn("topic", F.col(held).cast("string")).drop(held)
+    else:
+        docs = docs if celled else with_cells(docs)
     spark, cells = docs.sparkSession, keep(cells_of(docs), "cells")
     goals = {}
     for d in DIMS:

@@ -41,6 +41,15 @@ def test_mixing_takes_any_column_names(spark):
     assert {"of_source", "of_lang_", "of_topic"} <= set(out.columns) and out.where("of_source = 'own' AND of_topic = 1").count() == docs.count()
 
 
+def test_mixing_by_topics_of_ones_own(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("field", F.when(F.col("doc_id") % 4 == 0, "law").when(F.col("doc_id") % 4 == 1, "art"))
+    goal = {"law": 0.5, "art": 0.3, None: 0.2}
+    out = mixing.mix(docs, topic="field", targets={"topic": goal}, fraction=0.05)
+    assert {r.topic for r in out.select("topic").distinct().collect()} == set(goal)
+    sums = {r.topic: r.w for r in out.groupBy("topic").agg(F.sum(F.col("n_tokens") * F.col("prob")).alias("w")).collect()}
+    assert all(math.isclose(sums[k] / sum(sums.values()), v, rel_tol=0.02) for k, v in goal.items())
+
+
 # --- decontamination -------------------------------------------------------------------------------------------------
 
 
