@@ -19,16 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch between Spark and Python where rows hold whole texts: some MB, of which a task holds several.
+TEXTS = 1000
+
+
+def keep(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
+    batch: rows that go to Python at a time while this is written, at most; the session's setting is put back.
+
     Results are read from such tables after an operator has returned, so they stay until `sweep`, or until this process ends
     where the folder is mounted.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/cairn-{tag}-{uuid.uuid4().hex}"
     _KEPT.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_ROWS)
+    if batch is not None and int(before) > batch:
+        spark.conf.set(_ROWS, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

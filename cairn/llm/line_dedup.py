@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, keep, table
+from .common import TEXTS, fresh, keep, table
 
 STRIP = b" \t\n\x0b\x0c\r"
 DIGEST = 16
@@ -154,8 +154,8 @@ def line_keys(docs: DataFrame, doc: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, keys = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                own = {line_key(x) for x in (t or b"").split(b"\n")}
+            for i, t in enumerate(b.column(1)):
+                own = {line_key(x) for x in (t.as_py() or b"").split(b"\n")}
                 own.discard(b"")
                 at += [i] * len(own)
                 keys += own
@@ -274,7 +274,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
     """
     docs = docs.drop("n_lines", "n_dropped")
     asked = None if counts is None else line_keys(docs, doc, text).select("key")
-    counts = keep(reference_counts(docs, doc, text), "linecounts") if counts is None else counts
+    counts = keep(reference_counts(docs, doc, text), "linecounts", TEXTS) if counts is None else counts
     ready = decide(counts, least, bound, made, asked)
     if ready is not None:
         sent = docs.sparkSession.sparkContext.broadcast(ready)

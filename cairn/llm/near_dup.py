@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, fresh, keep
+from .common import TEXTS, components, fresh, keep
 from .simhash import BLOCK, SEED, _keyed, exact_keys, left_keys, right_keys, spare_parts
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -199,7 +199,7 @@ def _sets(ids: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     made = ids.mapInArrow(run, T.StructType([ids.schema["doc"], ids.schema["mark"], T.StructField("hashes", T.ArrayType(T.LongType()))]))
     of = wanted.select("node", F.col("doc").alias("of"), F.col("mark").alias("is"))
     # rows that repeat an id and a text are one
-    return keep(made.join(of, F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("is"))).select("node", "hashes").dropDuplicates(["node"]), "sets")
+    return keep(made.join(of, F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("is"))).select("node", "hashes").dropDuplicates(["node"]), "sets", TEXTS)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -352,7 +352,7 @@ def row_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
     """(doc, mark, root) of every row: mark is a hash of the text, and rows of one group have one root."""
     ids = docs.select(F.col(doc).alias("doc"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("binary").alias("text"))
     limit = _limit(similarity)
-    made = keep(_sketched(ids, width).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    made = keep(_sketched(ids, width).withColumn("row", F.monotonically_increasing_id()), "sketches", TEXTS)
     # equal word sequences are one node from the start, so a group of exact copies is one row in what follows
     firsts = keep(made.groupBy("same").agg(F.min("row").alias("node")), "firsts")
     nodes = keep(made.join(firsts.select("node"), F.col("row") == F.col("node")).select("node", "doc", "mark", "size", "fps", "sign", "bands", F.col("node").alias("root")), "nodes")
@@ -367,7 +367,7 @@ def row_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
     sizes = nodes.select("node", "size")
     pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("nb")), "b")
     # sets of too different sizes can't be similar
-    pairs = keep(pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-9).select("a", "b"), "pairs")
+    pairs = keep(pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(similarity) - 1e-9).select("a", "b"), "pairs", TEXTS)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _sets(ids, nodes.join(ends, "node").select("node", "doc", "mark"), width)
     known = _rooted(nodes.drop("bands"), _linked(pairs, sets, similarity), "roots")
@@ -386,7 +386,7 @@ def row_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", width:
     asked = _blocked(probes.join(signs, "node"), "y").select("key", F.col("block").alias("other"), "y")
     wanted = homes.select("key", "node").join(probes.select("key", "blocks").distinct(), "key").join(signs, "node")
     units = _blocked(wanted, "x").join(asked, "key").select(F.xxhash64("key", "block", "other", F.lit("probe")).alias("unit"), "x", "y")
-    needed = keep(needed.unionByName(_crossing(units, limit)), "crossing")
+    needed = keep(needed.unionByName(_crossing(units, limit)), "crossing", TEXTS)
     sets = _sets(ids, known.join(needed.select("node").distinct(), "node").select("node", "doc", "mark"), width)
     known = _rooted(known.select("node", "root", "size"), _regrouped(needed, known, sets, similarity), "groups")
 
