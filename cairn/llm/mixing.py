@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of (source, language, topic). The cells' token weights are raked until their margins
-meet the targets of every dimension to within TOLERANCE (or MOST_SWEEPS sweeps are done: contradictory targets have
-no solution); a document of a cell is then sampled with the probability that the raked weight asks for, calibrated so that the expected tokens are the wanted fraction of all and no probability
+meet the targets of every dimension to within TOLERANCE (contradictory targets have no solution: raking ends when their
+margins no longer change, or after MOST_SWEEPS sweeps); a document of a cell is then sampled with the probability that the raked weight asks for, calibrated so that the expected tokens are the wanted fraction of all and no probability
 exceeds one (cells that would are kept whole, and the rest is scaled up for them).
 
 Raking needs the cells only. Up to CELLS_ON_DRIVER cells (counted first) it runs on the driver, beyond that as
@@ -26,7 +26,7 @@ DIMS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 FRACTION = 0.5
 #: Greatest difference of a margin from its target at which raking ends, and the most sweeps.
-TOLERANCE, MOST_SWEEPS = 1e-13, 200
+TOLERANCE, MOST_SWEEPS = 1e-13, 30
 SEED = "mix-1"
 CELLS_ON_DRIVER = 200_000
 #: Topic by the first rule that holds; SQL over text and n_tokens that Spark and DuckDB both read.
@@ -69,7 +69,7 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 def rake_on_driver(keys: list[np.ndarray], n: np.ndarray, targets: list[np.ndarray], sweeps: int = MOST_SWEEPS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Weights that sum to 1. keys: by dimension, each cell's value number; targets: by dimension, shares by number."""
-    w = n / n.sum()
+    w, last = n / n.sum(), np.inf
     for _ in range(sweeps):
         off = 0.0
         for k, t in zip(keys, targets, strict=True):
@@ -79,9 +79,10 @@ def rake_on_driver(keys: list[np.ndarray], n: np.ndarray, targets: list[np.ndarr
             goal = reachable / (reachable.sum() or 1.0)
             off = max(off, float(np.abs(goal - sums).max()))
             w = w * (np.divide(goal, sums, out=np.zeros_like(sums), where=sums > 0))[k]
-        # measured as each dimension's turn came: all of them held before this sweep
-        if off <= tolerance:
+        # measured as each dimension's turn came; what no longer changes won't meet contradictory targets any better
+        if off <= tolerance or abs(last - off) <= tolerance:
             break
+        last = off
     return w
 
 
@@ -121,6 +122,7 @@ def probabilities(cells: DataFrame, targets: dict[str, DataFrame], fraction: flo
     now = cells.withColumn("weight", F.col("n").cast("double"))
     whole = cells.agg(F.sum("n")).first()[0] or 1
     now = now.withColumn("weight", F.col("weight") / F.lit(float(whole)))
+    last = np.inf
     for _ in range(sweeps):
         off = 0.0
         for d in DIMS:
@@ -132,8 +134,9 @@ def probabilities(cells: DataFrame, targets: dict[str, DataFrame], fraction: flo
             sums = sums.select(d, F.when(F.col("sum") > 0, goal / F.col("sum")).otherwise(0.0).alias("by"))
             now = now.join(sums, d, "left").withColumn("weight", F.col("weight") * F.coalesce("by", F.lit(0.0))).drop("by")
         now = keep(now, "raked")
-        if off <= TOLERANCE:
+        if off <= TOLERANCE or abs(last - off) <= TOLERANCE:
             break
+        last = off
     total_n, total_w = now.agg(F.sum("n"), F.sum("weight")).first()
     budget, scale = fraction * total_n, None
     ratio = F.col("weight") / F.col("n")

@@ -29,12 +29,6 @@ def test_raking_ends_when_the_margins_meet():
     assert np.isfinite(w).all() and math.isclose(w.sum(), 1)
 
 
-def test_raking_by_joins_takes_the_same_steps(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    a, b = ({r.doc_id: (round(r.prob, 9), r.kept) for r in mixing.mix(docs, bound=n).collect()} for n in (mixing.CELLS_ON_DRIVER, 0))
-    assert a == b
-
-
 def test_mixing_takes_any_column_names(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("of_source", F.lit("own")).withColumn("of_lang_", F.lit("own")).withColumn("of_topic", F.lit(1))
     out = mixing.mix(docs)
