@@ -725,7 +725,7 @@ def _footers(spark, sf_dir):
     def line(key: str, value) -> F.Column:
         return F.concat(F.when(odd, key.replace("chunk", "cnunk")).otherwise(key), F.lit(":"), value.cast("string"))
 
-    lines = [line("last.chunk.index", F.col("last")), line("last.chunk.size", F.col("total") - (F.col("last") - 1) * F.lit(_CHUNK)), line("max.chunk.size", F.lit(_CHUNK)), line("last.entity.index", F.col("n")), line("total.size", F.col("total")), F.when(~odd, "version:2")]
+    lines = [line("last.chunk.index", F.col("last")), line("last.chunk.size", F.col("total") - (F.col("last").cast("bigint") - 1) * F.lit(_CHUNK)), line("max.chunk.size", F.lit(_CHUNK)), line("last.entity.index", F.col("n")), line("total.size", F.col("total")), F.when(~odd, "version:2")]
     return A.footer(totals.select("prefix", F.explode(F.array_compact(F.array(*lines))).alias("line")))
 
 
