@@ -18,3 +18,9 @@ def test_footers_of_many_chunks(spark, long_archives):
     folder, known = long_archives
     found = {r.prefix: (r.last_chunk, r.last_chunk_size, r.total_size) for r in QUERIES["archive_footer"](spark, folder).collect()}
     assert found == {p: (n, total - (n - 1) * 1_000_000, total) for p, (n, total) in known.items()}
+
+
+def test_lists_of_many_chunks(spark, long_archives):
+    folder, known = long_archives
+    found = {(r.name, r.size) for r in QUERIES["chunk_list"](spark, folder).collect()}
+    assert found == {(f"{p}.{i:05d}.cargo", min(1_000_000, total - (i - 1) * 1_000_000)) for p, (n, total) in known.items() for i in range(1, n + 1)}
