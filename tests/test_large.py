@@ -24,3 +24,9 @@ def test_lists_of_many_chunks(spark, long_archives):
     folder, known = long_archives
     found = {(r.name, r.size) for r in QUERIES["chunk_list"](spark, folder).collect()}
     assert found == {(f"{p}.{i:05d}.cargo", min(1_000_000, total - (i - 1) * 1_000_000)) for p, (n, total) in known.items() for i in range(1, n + 1)}
+
+
+def test_violations_among_many_chunks(spark, long_archives):
+    folder, known = long_archives
+    found = sorted(r.name for r in QUERIES["chunk_violations"](spark, folder).collect())
+    assert found == sorted(f"{p}.{i:05d}.cargo" for p, (n, _) in known.items() for i in range(1, n + 1) if i % 5 == 2 or i % 7 == 3)
