@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, keep, table
+from .common import by_merge, components, keep, table
 
 BITS = 4
 SEED = 42
@@ -272,34 +272,34 @@ def link_components(nodes: DataFrame, limit: int = BITS) -> DataFrame:
     signs = nodes.select("node", "sign")
     exact = _keyed(nodes, exact_keys, spare=spare)
     held = exact.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    held = keep(exact.join(held, "key"), "held")
-    parts = _blocked(held.join(signs, "node"), "x")
+    held = keep(exact.join(by_merge(held), "key"), "held")
+    parts = _blocked(held.join(by_merge(signs), "node"), "x")
     first = keep(verify(parts.select("x", F.col("x").alias("y")), limit), "exactlinks")
     many = held.where("blocks > 1")
     if not many.isEmpty():
         roots = components(first).withColumnRenamed("node", "of")
-        own = many.join(roots, F.col("node") == F.col("of"), "left").select("key", F.coalesce("root", "node").alias("root"))
+        own = many.join(by_merge(roots), F.col("node") == F.col("of"), "left").select("key", F.coalesce("root", "node").alias("root"))
         mixed = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        parts = _blocked(many.join(mixed, "key").join(signs, "node"), "x")
-        units = parts.join(parts.select("key", F.col("block").alias("other"), F.col("x").alias("y")), "key").where("block < other")
+        parts = _blocked(many.join(by_merge(mixed), "key").join(by_merge(signs), "node"), "x")
+        units = parts.join(by_merge(parts.select("key", F.col("block").alias("other"), F.col("x").alias("y"))), "key").where("block < other")
         first = keep(first.unionByName(verify(units.select("x", "y"), limit)), "exactlinks")
     roots = components(first).withColumnRenamed("node", "of")
-    known = keep(nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", "fps", "sign", F.coalesce("root", "node").alias("root")), "roots")
+    known = keep(nodes.join(by_merge(roots), F.col("node") == F.col("of"), "left").select("node", "fps", "sign", F.coalesce("root", "node").alias("root")), "roots")
     signs = known.select("node", "sign")
     homes = _keyed(known, right_keys, "root", spare)
     buckets = homes.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)).drop("n")
     # a probe whose bucket holds its own group only cannot add a link between groups
-    probes = _keyed(known, left_keys, "root", spare).alias("p").join(buckets.alias("h"), (F.col("p.key") == F.col("h.key")) & ~((F.col("h.low") == F.col("h.high")) & (F.col("h.low") == F.col("p.root")))).select("p.key", "node", "blocks")
+    probes = _keyed(known, left_keys, "root", spare).alias("p").join(by_merge(buckets).alias("h"), (F.col("p.key") == F.col("h.key")) & ~((F.col("h.low") == F.col("h.high")) & (F.col("h.low") == F.col("p.root")))).select("p.key", "node", "blocks")
     probes = keep(probes, "probes")
-    asked = _blocked(probes.join(signs, "node"), "y").select("key", "y")
-    wanted = homes.select("key", "node").join(probes.select("key", "blocks").distinct(), "key").join(signs, "node")
-    units = _blocked(wanted, "x").select("key", "x").join(asked, "key").select("x", "y")
+    asked = _blocked(probes.join(by_merge(signs), "node"), "y").select("key", "y")
+    wanted = homes.select("key", "node").join(by_merge(probes.select("key", "blocks").distinct()), "key").join(by_merge(signs), "node")
+    units = _blocked(wanted, "x").select("key", "x").join(by_merge(asked), "key").select("x", "y")
     ends = known.select("node", "root")
-    second = verify(units, limit).join(ends.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(ends.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    second = verify(units, limit).join(by_merge(ends.select(F.col("node").alias("a"), F.col("root").alias("ra"))), "a").join(by_merge(ends.select(F.col("node").alias("b"), F.col("root").alias("rb"))), "b")
     between = second.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     more = components(between).select(F.col("node").alias("of"), F.col("root").alias("joined"))
     # groups of the first case, renamed where the second case joins them
-    return ends.join(more, F.col("root") == F.col("of"), "left").select("node", F.coalesce("joined", "root").alias("root"))
+    return ends.join(by_merge(more), F.col("root") == F.col("of"), "left").select("node", F.coalesce("joined", "root").alias("root"))
 
 
 def by_fingerprint(fps: DataFrame) -> DataFrame:
@@ -324,11 +324,11 @@ def simhash_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", wid
     prints = keep(fingerprints(docs, doc, text, width), "prints")
     firsts = keep(prints.groupBy("fp").agg(F.min("doc").alias("first")), "firsts")
     roots = link_components(by_fingerprint(firsts.select("fp")), bits)
-    rooted = firsts.join(roots, F.col("fp") == F.col("node")).select("fp", "first", "root")
+    rooted = firsts.join(by_merge(roots), F.col("fp") == F.col("node")).select("fp", "first", "root")
     rooted = keep(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("of"), "component")
-    return prints.join(named, F.col("fp") == F.col("of")).select("doc", "fp", "component")
+    named = rooted.join(by_merge(least), "root").select(F.col("fp").alias("of"), "component")
+    return prints.join(by_merge(named), F.col("fp") == F.col("of")).select("doc", "fp", "component")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from cairn.llm import chat_format, decontaminate, lang_id, line_dedup, mixing, secret_scan
+from cairn.llm import chat_format, decontaminate, lang_id, line_dedup, mixing, secret_scan, simhash
+from cairn.llm.common import components
 
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
@@ -233,3 +234,18 @@ def test_blob_ledgers_take_odd_rows(spark, tmp_path):
     ledger.add(make(("a", None), ("a", ""), ("a", None), (None, "AKIA" + "B" * 16), (None, "AKIA" + "B" * 16)), "path", "text")
     assert sorted((r.path or "", [x.kind for x in r.found]) for r in ledger.report().collect()) == [("", ["access"]), ("a", [])]
     assert ledger.scans().count() == 2 * len(secret_scan.RULES)
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """Whatever Spark would broadcast: fingerprints, links and groups grow with the documents, so they stay with the executors."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        docs = spark.createDataFrame([(i, f"some words that text {i // 2} repeats and others do not {i // 2}") for i in range(40)], "doc_id long, text string")
+        groups = simhash.simhash_groups(docs)
+        links = components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+        for df in (groups, links):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {r.component for r in groups.collect()} == set(range(0, 40, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
