@@ -19,7 +19,7 @@ from .plans import increments as I
 from .queries import _AT, _OFFSETS, _SINCE, _first_from, _index, _offset_rows, _share, _uuid, query
 from .schemas import ARCHIVE_ENTRIES, FILES, MANIFESTS, changes_with
 from .scratch import own_folder
-from .sources import keys, manifests
+from .sources import archive_files, keys, manifests
 from .streaming.increments import LatestState
 
 
@@ -119,11 +119,14 @@ def stored_entries(spark, sf_dir):
 
 @query("documents_round_trip", "SELECT manifest_id, id, path, original_size, archive_metadata_id FROM files")
 def documents_round_trip(spark, sf_dir):
-    """Manifests as JSON documents and back."""
-    heads = _full(spark.createDataFrame([(f"set-{X.EPOCH + i * X.DAY}",) for i in range(3)], "manifest_id string"), MANIFESTS)
-    made = manifests.to_documents(heads, _full(X.files(spark, sf_dir), FILES), _full(X.archives(spark, sf_dir), ARCHIVE_ENTRIES))
-    back = manifests.tables(made.select(F.from_json("document", manifests.DOCUMENT).alias("d")).select("d.*"))
-    return back["files"].select("manifest_id", "id", "path", "original_size", "archive_metadata_id")
+    """Manifests as JSON documents and back: files of the shared folder, written and read in pieces."""
+    folder, found = _own(spark, "documents"), _stored(spark, sf_dir)
+    for i in range(3):
+        name = f"set-{X.EPOCH + i * X.DAY}"
+        head = _full(spark.createDataFrame([(name,)], "manifest_id string"), MANIFESTS)
+        own = {k: found[k].where(F.col("manifest_id") == name) for k in ("files", "archive_entries")}
+        archive_files.write_document(head, own["files"], own["archive_entries"], f"{folder}/{name}.manifest.cargo", f"{folder}/{name}")
+    return manifests.document_tables(spark, folder)["files"].select("manifest_id", "id", "path", "original_size", "archive_metadata_id")
 
 
 @query("stream_latest", "SELECT path, id, increment FROM files QUALIFY row_number() OVER (PARTITION BY path ORDER BY increment DESC, id) = 1")

@@ -1,8 +1,16 @@
 """Queries on small tables with large values, and on more rows than one value or one machine's heap should hold."""
 
+import gzip
+import json
+
 import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
 
+import cairn.store_queries  # noqa: F401
+import cairn.tree_queries  # noqa: F401
 from cairn.queries import QUERIES
+from cairn.sources import manifests
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +38,35 @@ def test_violations_among_many_chunks(spark, long_archives):
     folder, known = long_archives
     found = sorted(r.name for r in QUERIES["chunk_violations"](spark, folder).collect())
     assert found == sorted(f"{p}.{i:05d}.cargo" for p, (n, _) in known.items() for i in range(1, n + 1) if i % 5 == 2 or i % 7 == 3)
+
+
+def test_documents_are_read_row_by_row(spark, tmp_path):
+    """As from_json reads them, whatever their order, blanks and block borders; what is no JSON to its end gives nothing."""
+    many = {f"i{n}": {"id": f"i{n}", "path": f"file:///é/{n}{{}},\"", "original_size": n} for n in range(9000)}
+    texts = {
+        "a": json.dumps({"files": many, "backup_type": "FULL", "file_name_prefix": "a-1", "archive_entries": {"e": {"files": list(many), "original_hash": None}}}, indent=1, ensure_ascii=False),
+        "b": json.dumps({"file_name_prefix": "b-2", "start_time_utc_epoch_seconds": 7, "files": {}, "archive_entries": None}),
+        "cut": json.dumps({"file_name_prefix": "c-3", "files": many})[:-1],
+        "more": json.dumps({"file_name_prefix": "d-4", "files": {}}) + "x",
+        "nameless": json.dumps({"files": many}),
+        "list": "[]",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.manifest.cargo").write_bytes(gzip.compress(text.encode()))
+    read = manifests.document_tables(spark, str(tmp_path))
+    held = manifests.tables(spark.createDataFrame([(texts[k],) for k in "ab"], "t string").selectExpr("t").select(F.from_json("t", manifests.DOCUMENT).alias("d")).select("d.*"))
+    for name in read:
+        assert sorted(map(str, read[name].collect())) == sorted(map(str, held[name].collect()))
+    assert read["files"].count() == 9000 and read["manifests"].count() == 2
+
+
+def test_no_task_holds_a_document(spark, tmp_path, monkeypatch):
+    """Queries over documents never make one of them a value of a row."""
+
+    def refuse(*_):
+        raise AssertionError("a whole document as a value")
+
+    for name in ("to_documents", "read_cargo", "read_documents"):
+        monkeypatch.setattr(manifests, name, refuse)
+    assert QUERIES["documents_round_trip"](spark, DATA).count() > 0
+    assert QUERIES["manifest_file"](spark, DATA).count() > 0
