@@ -775,7 +775,7 @@ def archive_integrity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stored = F.when(F.col("doc_id") % 997 == 3, "another hash").otherwise(F.sha2(text, 256))
     rows = docs.select(F.concat(F.lit("arc"), F.coalesce("source", F.lit("none"))).alias("prefix"), F.col("doc_id").alias("ord"), text.alias("raw"), F.octet_length(text).cast("bigint").alias("arch_size"), stored.alias("arch_hash"), F.sha2(text, 256).alias("orig_hash"))
-    placed = A.offsets(rows, "arc", 4 << 20)
+    placed = A.placed(rows, 4 << 20)
     parts = A.parts(placed, 4 << 20, 1 << 20)
     decoded = A.content_of(placed.drop("raw"), parts, max_chunk=4 << 20, part=1 << 20)
     return A.integrity(decoded).select("prefix", "valid", "n", F.col("end").alias("bytes"))

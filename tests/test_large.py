@@ -2,14 +2,19 @@
 
 import gzip
 import json
+import os
+import shutil
 
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 import cairn.store_queries  # noqa: F401
-import cairn.tree_queries  # noqa: F401
+from cairn import jobs, tree_queries
+from cairn.plans import archive as A
+from cairn.plans import backup as B
 from cairn.queries import QUERIES
+from cairn.scratch import local_path, scratch
 from cairn.sources import manifests
 
 
@@ -70,3 +75,43 @@ def test_no_task_holds_a_document(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(manifests, name, refuse)
     assert QUERIES["documents_round_trip"](spark, DATA).count() > 0
     assert QUERIES["manifest_file"](spark, DATA).count() > 0
+
+
+def test_integrity_puts_only_split_entries_together(spark):
+    """Entries of no byte, of one part and of many; a lost part leaves its bytes out of the entries that it holds."""
+    rows = spark.createDataFrame([("a", n, f"/{n}", bytearray(bytes([n % 251]) * (n * 37 % 90))) for n in range(1, 200)], "prefix string, ord long, path string, raw binary")
+    rows = rows.withColumn("arch_size", F.octet_length("raw").cast("bigint")).withColumn("arch_hash", F.sha2("raw", 256)).withColumn("orig_hash", F.col("arch_hash"))
+    placed = A.placed(rows, 100)
+    parts = A.parts(placed, 100, 30)
+    back = {r.ord: r for r in A.content_of(placed.drop("raw"), parts, max_chunk=100, part=30).collect()}
+    assert {n: bytes(r.content) for n, r in back.items()} == {r.ord: bytes(r.raw) for r in rows.collect()}
+    lost = A.content_of(placed.drop("raw"), parts.where("NOT (number = 3 AND part = 1)"), max_chunk=100, part=30)
+    short = {r.ord for r in lost.collect() if len(r.raw) != r.arch_size}
+    assert short == {n for n, r in back.items() if r.abs_start < 260 and r.abs_end > 230 and r.arch_size}
+    # no exchange of bytes for the sums: the offsets are made of all columns but these
+    windows = [p for p in placed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window " in p]
+    assert windows and not any("raw#" in p for p in windows)
+
+
+def test_tasks_broadcast_no_table_that_grows(spark, monkeypatch, tmp_path):
+    """Whatever Spark would broadcast; the session's setting is put back, also by a task that fails."""
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(jobs, "_held", lambda spark, scope: seen.append(spark.conf.get(key)) or {}["none"])
+    for task in (jobs.restore, jobs.merge):
+        with pytest.raises(KeyError):
+            task(spark, B.Scope(str(tmp_path), "set"))
+    assert seen == ["-1", "-1"] and spark.conf.get(key) == before
+
+
+def test_trees_go_when_they_were_read(spark):
+    """A query of a restore leaves its rows, no tree; the first one leaves the history's backups only."""
+    trees = tree_queries.history(spark, DATA)[0]
+    folder = local_path(scratch(spark))
+    for name in ("restored_earlier", "merged_tree"):
+        assert QUERIES[name](spark, DATA).count() > 0
+        assert not [n for n in os.listdir(folder) if n.startswith(("cairn-restored-", "cairn-merged-"))]
+    assert os.path.isdir(f"{os.path.dirname(trees)}/backups")
+    shutil.rmtree(trees, ignore_errors=True)
+    tree_queries._planted.cache_clear()
+    assert QUERIES["scan_tree"](spark, DATA).where("file_type = 'REGULAR_FILE'").count() == QUERIES["restored_tree"](spark, DATA).count()
