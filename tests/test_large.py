@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+import re
 import shutil
 
 import pytest
@@ -39,6 +40,17 @@ def test_lists_of_many_chunks(spark, long_archives):
     assert found == {(f"{p}.{i:05d}.cargo", min(1_000_000, total - (i - 1) * 1_000_000)) for p, (n, total) in known.items() for i in range(1, n + 1)}
 
 
+def test_no_array_holds_the_chunks_of_an_archive(spark, tmp_path):
+    """2.1 thousand million chunks are listed row by row; blocks of numbers meet without gap; an archive without chunks has none."""
+    spark.createDataFrame([(0, 1, 2_100_000_000_000)], "l_orderkey long, l_linenumber int, l_quantity long").selectExpr("*", "1L AS l_partkey", "1L AS l_suppkey", "1D AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    some = QUERIES["chunk_list"](spark, str(tmp_path)).limit(2).collect()
+    assert len(some) == 2 and all((r.prefix, r.size) == ("arc0", 1_000_000) and re.fullmatch(r"arc0\.[0-9]{5,10}\.cargo", r.name) for r in some)
+    known = {"none": 0, "one": 1, "short": 65_535, "block": 65_536, "more": 65_537, "two": 131_073}
+    footers = spark.createDataFrame([(p, n, 5, 9) for p, n in known.items()] + [("null", None, 5, 9)], "prefix string, last_chunk int, last_chunk_size long, max_chunk_size long")
+    found = {(r.name, r.size) for r in A.expected_chunks(footers).collect()}
+    assert found == {(f"{p}.{i:05d}.cargo", 5 if i == n else 9) for p, n in known.items() for i in range(1, n + 1)}
+
+
 def test_violations_among_many_chunks(spark, long_archives):
     folder, known = long_archives
     found = sorted(r.name for r in QUERIES["chunk_violations"](spark, folder).collect())
