@@ -12,7 +12,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from cairn.llm import chat_format, decontaminate, lang_id, line_dedup, mixing, secret_scan, simhash
-from cairn.llm.common import components
+from cairn.llm.common import components, keep, trim
 
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
@@ -249,3 +249,35 @@ def test_no_table_that_grows_is_broadcast(spark):
         assert {r.component for r in groups.collect()} == set(range(0, 40, 2))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+# --- the driver's memory ---------------------------------------------------------------------------------------------
+
+
+def test_keep_gives_back_what_the_drivers_jvm_freed_outside_its_heap(spark):
+    if not trim(spark):
+        pytest.skip("this JVM has no command to trim its native heap")
+    jvm = spark._jvm
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    memory = field.get(None)
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+
+    def resident() -> float:
+        with open(status) as f:
+            return int(re.search(r"\nRss:\s+(\d+)", f.read())[1]) / 1024
+
+    keep(spark.range(1), "warm")
+    held = [memory.allocateMemory(1 << 16) for _ in range(3000)]
+    for at in held:
+        memory.setMemory(at, 1 << 16, 1)
+    # every sixteenth block stays, so that malloc doesn't give the others back by itself
+    for k, at in enumerate(held):
+        if k % 16:
+            memory.freeMemory(at)
+    before = resident()
+    keep(spark.range(1), "trimmed")
+    after = resident()
+    for at in held[::16]:
+        memory.freeMemory(at)
+    assert before - after > 80
